@@ -63,3 +63,10 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = m.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing as m
+
+    return m.pack(table(spark, sf_dir, "documents"))
