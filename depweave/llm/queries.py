@@ -70,3 +70,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing as m
 
     return m.pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_crf as m
+
+    return m.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
