@@ -77,3 +77,10 @@ def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_crf as m
 
     return m.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity as m
+
+    return m.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
