@@ -84,3 +84,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity as m
 
     return m.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_tree as m
+
+    return m.score(table(spark, sf_dir, "documents"))
