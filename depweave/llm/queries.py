@@ -91,3 +91,33 @@ def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix_tree as m
 
     return m.score(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH raw AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+p AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn, 4 + CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM raw),
+s AS (SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM p),
+sys AS (SELECT conv_id, tokens AS st, text AS system FROM s WHERE before = 0 AND role = 'system'),
+r AS (SELECT s.*, st, greatest(1024 - 192 - coalesce(st, 0), 256) AS room FROM s LEFT JOIN sys USING (conv_id)),
+c AS (SELECT *, room * 3 // 4 AS cell FROM r),
+w AS (SELECT *, ((before + tokens - 1) // cell) * 2 + CASE WHEN (before + tokens - 1) // cell > before // cell AND tokens > room - cell THEN 0 ELSE 1 END AS win FROM c),
+st AS (SELECT conv_id, win, min(before) AS start FROM w GROUP BY ALL HAVING min(before) > 0),
+msg AS (SELECT conv_id, role, text, 'turn' AS kind FROM w
+  UNION ALL SELECT st.conv_id, w.role, w.text, 'repeat' FROM st JOIN w ON w.conv_id = st.conv_id AND w.before + w.tokens <= st.start AND st.start - w.before <= 192 WHERE NOT (w.before = 0 AND w.role = 'system')
+  UNION ALL SELECT conv_id, 'system', system, 'repeat' FROM st JOIN sys USING (conv_id)),
+ch AS (SELECT conv_id, CAST(sum(2 * length(kind) + 7 + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g')) + length(replace(replace(text, '\', '\b'), '<', '\l'))) AS BIGINT) AS formatted_chars FROM msg GROUP BY conv_id),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY before)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY before) FILTER (WHERE role = 'assistant'), '') AS loss FROM s GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM d JOIN ch USING (conv_id)
+"""
+
+
+@query(OP9_SQL)
+def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat as m
+
+    said = F.lit("\\### Assistant: </turn> ok")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
+    return m.digests(m.windows(turns))
