@@ -19,8 +19,10 @@ packed each for itself; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,64 +38,94 @@ CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 
 _coders: dict[str, WordCoder] = {}
 
 
+class _Slots(dict):
+    """Unknown words have slot -1."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class WordCoder:
-    """Ids by a tokenizer that drops white space: equal words are encoded once.
+    """Ids by a tokenizer that drops white space and case: equal words are encoded once.
 
     The vocabulary's splitter never joins what ASCII white space separates, so a
-    text's ids are those of its words in order.  The first ``CACHE_WORDS`` words
-    that a worker meets stay known, which are nearly all the frequent ones; others
-    are encoded once per call.
+    text's ids are those of its words in order; texts are lower-cased in ASCII first,
+    as the tokenizer does, unless they may hold one of its special tokens.  The first
+    ``CACHE_WORDS`` words that a worker meets stay known, which are nearly all the
+    frequent ones; others are encoded once per call.  Many words are encoded as one
+    text, with a mark between them.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel here
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.slot: dict[bytes, int] = {}
+        self.mark_ids = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.slot = _Slots()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _word_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids per word)."""
+        if len(self.mark_ids) == 1 and len(words) > 1:
+            text = f" {self.MARK} ".join([w.decode() for w in words])
+            flat = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            at = np.flatnonzero(flat == self.mark_ids[0])
+            if len(at) == len(words) - 1:  # no word holds the mark
+                return np.delete(flat, at), np.diff(np.concatenate([[-1], at, [len(flat)]])) - 1
         found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        flat = np.fromiter((i for x in found for i in x), np.uint32)
-        n, m = len(self.slot), len(self.slot) + len(words)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while m > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        size = np.fromiter((len(x) for x in found), np.int64, len(found))
-        self.begin[n:m] = self.used + np.cumsum(size) - size
-        self.size[n:m] = size
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.slot.update(zip(words, range(n, m), strict=True))
+        return np.fromiter((i for x in found for i in x), np.uint32), np.fromiter((len(x) for x in found), np.int64, len(found))
+
+    def _learn(self, words: list[bytes], n: int) -> None:
+        """Puts the ids of ``words`` into the slots from ``n`` on."""
+        for lo in range(0, len(words), 20_000):
+            part = words[lo : lo + 20_000]
+            flat, size = self._word_ids(part)
+            a, b = n + lo, n + lo + len(part)
+            while self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while b > len(self.begin):
+                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+                self.size = np.concatenate([self.size, np.zeros_like(self.size)])
+            self.begin[a:b] = self.used + np.cumsum(size) - size
+            self.size[a:b] = size
+            self.ids[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids per text)."""
-        parts = [t.split() for t in texts]
-        new = sorted(set().union(*parts).difference(self.slot))
-        stay = max(0, CACHE_WORDS - len(self.slot))
-        self._learn(new[:stay])
-        used, passing = self.used, new[stay:]
-        self._learn(passing)
-        get = self.slot.__getitem__
-        slots = np.array([s for p in parts for s in map(get, p)], np.int64)
+        parts = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        flat = list(chain.from_iterable(parts))
+        slots = np.array(list(map(self.slot.__getitem__, flat)), np.int64)
+        unknown = np.flatnonzero(slots < 0)
+        new = dict.fromkeys([flat[i] for i in unknown.tolist()])
+        n = len(self.slot)
+        stay = max(0, CACHE_WORDS - n)
+        words = list(new)
+        self._learn(words[:stay], n)
+        used = self.used
+        self._learn(words[stay:], n + len(words[:stay]))
+        for i, w in enumerate(words):
+            new[w] = n + i
+        slots[unknown] = [new[flat[i]] for i in unknown.tolist()]
+        self.slot.update(zip(words[:stay], range(n, n + len(words)), strict=False))
         sizes = self.size[slots]
         after = np.cumsum(sizes)
-        into = np.repeat(self.begin[slots] - after + sizes, sizes) + np.arange(after[-1] if len(after) else 0)
-        words = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-        edge = np.concatenate([[0], after])[np.concatenate([[0], np.cumsum(words)])]
+        into = np.repeat(self.begin[slots] - after + sizes, sizes)
+        into += np.arange(len(into))
+        count = np.fromiter((len(p) for p in parts), np.int64, len(parts))
+        edge = np.concatenate([[0], after])[np.concatenate([[0], np.cumsum(count)])]
         out = self.ids[into], np.diff(edge)
-        for w in passing:
-            del self.slot[w]
         self.used = used
         return out
 
