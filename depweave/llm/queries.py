@@ -121,3 +121,12 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
     return m.digests(m.windows(turns))
+
+
+@query()
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup as m
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = m.dedup_lines(docs, removed_col="n_removed")
+    return out.select("doc_id", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
