@@ -130,3 +130,24 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = m.dedup_lines(docs, removed_col="n_removed")
     return out.select("doc_id", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS keep FROM d WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN keep IS NULL OR keep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN keep <> page_id THEN keep END AS refers_to
+FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND payload_bytes >= 1000
+"""
+
+
+@query(OP2_SQL)
+def op2_warc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc as m
+
+    # the table has no capture time: a second for each page, from 2024 on
+    captured = F.timestamp_seconds(F.lit(1704067200) + F.coalesce("page_id", F.lit(0)))
+    captures = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", captured.alias("captured"), F.col("html").alias("payload"))
+    merged = m.merge_runs(m.capture_runs(spark, m.write_archives(captures)))
+    return merged.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

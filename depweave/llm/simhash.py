@@ -162,12 +162,30 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """Per row: the id, ``fp`` and ``component_id``, the least id of all rows reachable over links."""
-    marked = materialise(fingerprints(docs, text_col, (id_col,), size), "fingerprints")
+def _grouped(marked: DataFrame, id_col: str, bucket: int) -> DataFrame:
+    """(fp, root, component_id) for fingerprinted rows: the group of each fingerprint and the least id in it."""
     classes = materialise(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprint-classes")
     roots = connected_components(links(classes, bucket), "simhash")
     rooted = materialise(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(rooted.join(ids, "root").select("fp", "component_id"), "fingerprint-components")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    return materialise(rooted.join(ids, "root").select("fp", "root", "component_id"), "fingerprint-components")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """Per row: the id, ``fp`` and ``component_id``, the least id of all rows reachable over links."""
+    marked = materialise(fingerprints(docs, text_col, (id_col,), size), "fingerprints")
+    return marked.join(_grouped(marked, id_col, bucket), "fp").select(id_col, "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """One row of each group of near duplicates, all columns: that with the least id.
+
+    Rows without an id come last; of rows that tie, the one with the least hash of
+    id and text stays, and of rows equal in both any one.
+    """
+    row = F.xxhash64(docs[id_col], docs[text_col].cast("string")).alias("__row")
+    marked = materialise(fingerprints(docs.select(docs[id_col], docs[text_col], row), text_col, (id_col, "__row"), size), "fingerprints")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")))
+    stay = marked.join(_grouped(marked, id_col, bucket), "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("__row"))
+    stay = materialise(stay, "near-kept")
+    return docs.withColumn("__row", row).join(stay, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
