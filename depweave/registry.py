@@ -2,5 +2,517 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from depweave.functions import paths as P
+from depweave.operators import cluster, history, reach, resolve, search, structure
+from depweave.plans import tools, views
+from depweave.plans.testgraph import TestGraph, sql
+from depweave.sources import gitlog, slices
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, one: bool = False):
+    """Registers f(TestGraph) under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(TestGraph(spark, sf_dir, one))
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# ---- repositories, listings, nodes -------------------------------------------------
+
+FILES_SQL = """
+files AS (SELECT graph_id, path, language, deleted, c_name AS last_author, strftime(d, '%Y-%m-%dT%H:%M:%SZ') AS last_commit_at, 'c' || o AS last_commit_sha
+  FROM parts LEFT JOIN (SELECT l_partkey AS pk, max((o_orderdate, o_orderkey, o_custkey)) AS m, m[1] AS d, m[2] AS o, m[3] AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_partkey) USING (pk) LEFT JOIN customer ON c_custkey = c)
+"""
+REPOS_SQL = """
+repositories AS (SELECT graph_id, CASE WHEN max(pk) % 2 = 0 THEN graph_id END AS name, 'https://' || graph_id AS url, 'main' AS default_branch, CASE WHEN max(pk) % 3 > 0 THEN 'complete' END AS ingest_status FROM parts GROUP BY graph_id)
+"""
+
+
+@query(sql("SELECT graph_id, coalesce(name, graph_id) AS name, url, default_branch, coalesce(ingest_status, 'unknown') AS ingest_status FROM repositories", more=REPOS_SQL))
+def q1_list_repos(g: TestGraph) -> DataFrame:
+    return tools.list_repos(g.repositories).drop("ingested_at")
+
+
+@query(sql("""
+SELECT graph_id, (SELECT count(*) FROM live l WHERE l.graph_id = r.graph_id) AS files,
+  (SELECT count(DISTINCT qualified_name) FROM functions f JOIN live l ON l.graph_id = f.graph_id AND l.node = f.path WHERE f.graph_id = r.graph_id) AS functions FROM repositories r
+""", more=REPOS_SQL))
+def q2_repo_info(g: TestGraph) -> DataFrame:
+    return tools.repo_info(g.repositories, g.files, g.functions).select("graph_id", "files", "functions")
+
+
+@query(sql("""
+SELECT DISTINCT graph_id, split_part(rest, '/', 1) AS name, CASE WHEN position('/' IN rest) = 0 THEN 'file' ELSE 'dir' END AS type,
+  CASE WHEN position('/' IN rest) = 0 THEN path ELSE 'brand_1/' || split_part(rest, '/', 1) END AS path, CASE WHEN position('/' IN rest) = 0 THEN language END AS language
+FROM (SELECT *, substr(path, 9) AS rest FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY path) AS r FROM parts WHERE NOT deleted AND path LIKE 'brand!_1/%' ESCAPE '!') WHERE r <= 200)
+"""))
+def q3_structure(g: TestGraph) -> DataFrame:
+    return tools.structure(g.files, "brand_1")[0]
+
+
+def _bfs(edges: str, live: bool = True, seeds: str = "seed", hops: int = 3) -> str:
+    far = "JOIN live ON live.graph_id = e.graph_id AND live.node = e.t" if live else ""
+    return f"""
+e AS ({edges}),
+walk AS (SELECT e.graph_id, e.t AS node, 1 AS hop FROM e JOIN {seeds} s ON s.graph_id = e.graph_id AND s.node = e.s {far}
+  UNION SELECT e.graph_id, e.t, hop + 1 FROM walk w JOIN e ON e.graph_id = w.graph_id AND e.s = w.node {far} WHERE hop < {hops}),
+found AS (SELECT graph_id, node, min(hop) AS hop FROM walk GROUP BY ALL)
+"""
+
+
+_BACK, _FORTH = "SELECT graph_id, dst AS s, src AS t FROM edges", "SELECT graph_id, src AS s, dst AS t FROM edges"
+CALLS_SQL = """
+called AS (SELECT c.graph_id, c.path, c.caller, c.callee, coalesce(min(f.qualified_name) FILTER (WHERE f.path = c.path), min(f.qualified_name)) AS qualified_name,
+  CASE WHEN count(*) FILTER (WHERE f.path = c.path) > 0 THEN 3 WHEN count(f.path) > 0 THEN 4 END AS tier
+  FROM raw_calls c LEFT JOIN functions f ON f.graph_id = c.graph_id AND f.name = c.callee GROUP BY ALL),
+calls AS (SELECT DISTINCT graph_id, caller, CASE WHEN qualified_name IS NULL THEN 'symbol' ELSE 'function' END AS dst_kind, coalesce(qualified_name, callee) AS dst FROM called),
+own AS (SELECT f.graph_id, f.qualified_name AS node FROM functions f JOIN seed s ON s.graph_id = f.graph_id AND s.node = f.path JOIN live l ON l.graph_id = s.graph_id AND l.node = s.node)
+"""
+
+
+@query(sql("SELECT * FROM found", more=_bfs(_BACK)))
+def q4_imported_by(g: TestGraph) -> DataFrame:
+    return tools.imported_by(g.files, g.imports, g.most_imported(), 3)
+
+
+@query(sql("SELECT * FROM found", more=_bfs(_FORTH)))
+def q5_imports(g: TestGraph) -> DataFrame:
+    return tools.imports_of(g.files, g.imports, g.most_imported(), 3)
+
+
+def _calls(g: TestGraph) -> DataFrame:
+    return resolve.call_edges(resolve.bind_calls(g.raw_calls, g.functions), g.functions)
+
+
+@query(sql("SELECT * FROM found", more=CALLS_SQL + "," + _bfs("SELECT graph_id, dst AS s, caller AS t FROM calls WHERE dst_kind = 'function'", False, "own", 2)))
+def q6_callers(g: TestGraph) -> DataFrame:
+    return tools.callers(g.files, g.defines, _calls(g), g.most_imported(), 2)
+
+
+@query(sql("SELECT * FROM found", more=CALLS_SQL + "," + _bfs("SELECT graph_id, caller AS s, dst AS t FROM calls WHERE dst_kind = 'function'", False, "own", 2)))
+def q7_calls(g: TestGraph) -> DataFrame:
+    return tools.callees(g.files, g.defines, _calls(g), g.most_imported(), 2)
+
+
+@query(sql("""
+SELECT i.graph_id, i.dst AS name, 'import' AS kind, i.src AS via FROM symbol_imports i JOIN seed s ON s.graph_id = i.graph_id AND s.node = i.src JOIN live l ON l.graph_id = s.graph_id AND l.node = s.node
+UNION ALL SELECT c.graph_id, c.dst, 'call', c.caller FROM calls c JOIN own o ON o.graph_id = c.graph_id AND o.node = c.caller WHERE dst_kind = 'symbol'
+""", more=CALLS_SQL))
+def q8_external_symbols(g: TestGraph) -> DataFrame:
+    return tools.external_symbols(g.files, g.defines, g.imports, _calls(g), g.most_imported())
+
+
+@query(sql("SELECT * FROM found ORDER BY hop, node, graph_id LIMIT 500", more=_bfs(_BACK)))
+def q8b_capped_dependencies(g: TestGraph) -> DataFrame:
+    """The feature is the cap: the first 500 by hop and path."""
+    return tools.imported_by(g.files, g.imports, g.most_imported(), 3).orderBy("hop", "node", "graph_id").limit(tools.RESULT_CAP)
+
+
+SEARCH_SQL = """
+fields AS (SELECT graph_id, qualified_name AS id, name, qualified_name, path, 'function' AS kind, 'name' AS field, name AS t FROM functions
+  UNION ALL SELECT graph_id, qualified_name, name, qualified_name, path, 'function', 'qualified_name', qualified_name FROM functions
+  UNION ALL SELECT graph_id, path, path, NULL, path, 'file', 'path', path FROM parts WHERE NOT deleted),
+tokens AS (SELECT DISTINCT graph_id, id, name, qualified_name, path, kind, field, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS token FROM fields)
+"""
+
+
+@query(sql("""
+SELECT graph_id, id, name, qualified_name, path, kind, CAST(count(*) AS DOUBLE) AS score FROM
+  (SELECT DISTINCT graph_id, id, name, qualified_name, path, kind, field, term FROM tokens, (VALUES ('s12'), ('blue'), ('brand')) v(term) WHERE starts_with(token, term)) GROUP BY ALL
+""", more=SEARCH_SQL))
+def q9_ranked_search(g: TestGraph) -> DataFrame:
+    return search.ranked(search.token_table(search.searchable(g.files, g.functions)), "S12 Blue brand")
+
+
+@query(sql("""
+SELECT graph_id, qualified_name AS id, name, qualified_name, path, kind, 1.0::DOUBLE AS score FROM functions WHERE contains(lower(name), 'ed/b') OR contains(lower(qualified_name), 'ed/b')
+UNION ALL SELECT graph_id, path, path, NULL, path, 'file', 1.0 FROM parts WHERE NOT deleted AND contains(lower(path), 'ed/b')
+"""))
+def q10_substring_search(g: TestGraph) -> DataFrame:
+    return search.substring(g.files, g.functions, "ED/b")
+
+
+@query(sql("""
+SELECT graph_id, path AS id, 'file' AS kind, split_part(path, '/', -1) AS name, path, language, NULL::INT AS start_line, NULL::INT AS end_line FROM parts WHERE NOT deleted
+UNION ALL SELECT f.graph_id, qualified_name, f.kind, f.name, f.path, NULL, start_line, end_line FROM functions f JOIN live l ON l.graph_id = f.graph_id AND l.node = f.path
+UNION ALL SELECT DISTINCT graph_id, dst, 'other', dst, NULL, NULL, NULL::INT, NULL::INT FROM symbol_imports
+UNION ALL SELECT graph_id, graph_id, 'other', graph_id, NULL, NULL, NULL::INT, NULL::INT FROM repositories
+""", more=REPOS_SQL))
+def q11_node_detail(g: TestGraph) -> DataFrame:
+    symbols = g.symbol_imports.select("graph_id", F.col("dst").alias("name")).distinct()
+    return tools.nodes({"files": g.files, "functions": g.functions, "symbols": symbols, "repositories": g.repositories})
+
+
+@query(sql("SELECT graph_id, path, language, last_author, last_commit_at, last_commit_sha FROM files WHERE NOT deleted", more=FILES_SQL))
+def q12_file_metadata(g: TestGraph) -> DataFrame:
+    return tools.file_metadata(g.files)
+
+
+# ---- sources -----------------------------------------------------------------------
+
+S9_SQL = r"""
+SELECT doc_id, CASE WHEN n = 0 THEN '' ELSE array_to_string(ls[2:least(n, 5)], chr(10)) END AS slice, CASE WHEN n = 0 THEN 1 ELSE 2 END AS start_line, CASE WHEN n = 0 THEN 0 ELSE least(n, 5) END AS end_line
+FROM (SELECT doc_id, len(ls) AS n, ls FROM (SELECT doc_id, CASE WHEN text = '' THEN [] WHEN p[-1] = '' THEN p[:-2] ELSE p END AS ls FROM (SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents))) WHERE n <> 1
+"""
+
+
+@query(S9_SQL)
+def s9_slice(g: TestGraph) -> DataFrame:
+    """Lines 2 to 5 of every text that has them."""
+    out = slices.with_slices(g._t("documents").select("doc_id", "text"), "text", F.lit(2), F.lit(5))
+    return out.where("error is null").select("doc_id", "slice", "start_line", "end_line")
+
+
+LOG_SQL = """
+log AS (SELECT graph_id, path, commit_seq, row_number() OVER (PARTITION BY graph_id, path ORDER BY commit_seq DESC) AS r FROM commit_files)
+"""
+
+
+@query(sql("SELECT graph_id, path, lpad(CAST(commit_seq AS VARCHAR), 8, '0') AS sha, 'a' || commit_seq % 7 AS author, 'd|' || commit_seq AS committed_at FROM log WHERE r = 1", more=LOG_SQL))
+def s7_last_commit(g: TestGraph) -> DataFrame:
+    """A log text is written for each repository, newest commit first, and parsed."""
+    sha = F.lpad(F.col("commit_seq").cast("string"), 8, "0")
+    header = F.concat_ws("|", sha, F.concat(F.lit("a"), (F.col("commit_seq") % 7).cast("string")), F.concat(F.lit("d|"), F.col("commit_seq").cast("string")))
+    heads = g.commit_files.select("graph_id", "commit_seq").distinct().select("graph_id", (-F.col("commit_seq") * 1000).alias("line_no"), header.alias("line"))
+    body = g.commit_files.select("graph_id", (-F.col("commit_seq") * 1000 + 1).alias("line_no"), F.concat(F.lit("  "), "path").alias("line"))
+    return gitlog.last_commits(heads.unionByName(body))
+
+
+@query(sql("SELECT graph_id, path, count(*) AS n FROM commit_files GROUP BY ALL"))
+def s8_commit_files(g: TestGraph) -> DataFrame:
+    heads = g.commit_files.select("graph_id", "commit_seq").distinct().select("graph_id", (F.col("commit_seq") * 1000).alias("line_no"), F.concat(F.lit("\0"), F.col("commit_seq").cast("string")).alias("line"))
+    body = g.commit_files.select("graph_id", (F.col("commit_seq") * 1000 + 1).alias("line_no"), F.col("path").alias("line"))
+    return gitlog.commit_files(heads.unionByName(body)).groupBy("graph_id", "path").agg(F.count("*").alias("n"))
+
+
+@query(sql("""
+SELECT graph_id, path, language, list_contains(string_split(path, '/'), 'build') AS skipped FROM parts
+"""))
+def s3_language_map(g: TestGraph) -> DataFrame:
+    p = F.col("path")
+    return g.parts.select("graph_id", "path", P.language_of(p).alias("language"), P.in_skipped_directory(p).alias("skipped"))
+
+
+# ---- resolution and merging --------------------------------------------------------
+
+
+@query(sql("SELECT graph_id, path, caller, callee, qualified_name, tier FROM called", more=CALLS_SQL))
+def r9_call_binding(g: TestGraph) -> DataFrame:
+    return resolve.bind_calls(g.raw_calls, g.functions).select("graph_id", "path", "caller", "callee", "qualified_name", "tier")
+
+
+@query(sql("""
+SELECT graph_id, name, min(kind) AS kind FROM (SELECT graph_id, dst AS name, 'import' AS kind FROM symbol_imports UNION ALL SELECT graph_id, callee, 'call' FROM called WHERE qualified_name IS NULL) GROUP BY graph_id, name
+""", more=CALLS_SQL))
+def r10_symbol_leaves(g: TestGraph) -> DataFrame:
+    return resolve.symbols(g.imports, resolve.bind_calls(g.raw_calls, g.functions))
+
+
+SPECS_SQL = """
+specs AS (SELECT graph_id, src, '../' || split_part(dst, '/', 2) || '/./' || regexp_replace(split_part(dst, '/', 3), '\\.[a-z]+$', '') AS module FROM edges WHERE regexp_matches(src, '\\.(js|ts|tsx)$')),
+goal AS (SELECT graph_id, src, module, split_part(src, '/', 1) || '/' || split_part(module, '/', 2) || '/' || split_part(module, '/', 4) AS stem FROM specs)
+""".replace("\\\\", "\\")
+
+
+@query(sql("""
+SELECT DISTINCT graph_id, src, module, (SELECT arg_min(p.path, list_position(['js', 'ts', 'tsx'], split_part(p.path, '.', -1))) FROM parts p WHERE p.graph_id = goal.graph_id AND p.path IN (stem || '.js', stem || '.ts', stem || '.tsx')) AS path FROM goal
+""", more=SPECS_SQL))
+def r5_relative_imports(g: TestGraph) -> DataFrame:
+    """Relative specifiers from each importing file towards the directory of its target, without extension."""
+    part = lambda c, i: F.split_part(c, F.lit("/"), F.lit(i))
+    module = F.concat(F.lit("../"), part(F.col("dst"), 2), F.lit("/./"), F.regexp_replace(part(F.col("dst"), 3), r"\.[a-z]+$", ""))
+    rows = g.edges.where(F.col("src").rlike(r"\.(js|ts|tsx)$")).select("graph_id", "src", F.lit("ts").alias("language"), module.alias("module"))
+    return resolve.resolve_imports(rows, g.parts).select("graph_id", "src", "module", "path")
+
+
+@query(sql("""
+SELECT i.graph_id, i.src, i.module, coalesce(min(p.path) FILTER (WHERE p.path LIKE '%.java'), min(p.path)) AS path
+FROM (SELECT DISTINCT graph_id, src, replace(split_part(substr(dst, position('/' IN dst) + 1), '.', 1), '/', '.') || '.Member' AS module FROM edges) i
+LEFT JOIN parts p ON p.graph_id = i.graph_id AND (p.path LIKE '%.java' OR p.path LIKE '%.kt') AND ends_with(p.path, '/' || replace(left(i.module, length(i.module) - 7), '.', '/') || '.' || split_part(p.path, '.', -1))
+GROUP BY ALL
+"""))
+def r3_java_imports(g: TestGraph) -> DataFrame:
+    """Dotted member imports of each target's file without its top directory: found by suffix of the enclosing name."""
+    body = F.split_part(F.expr("substring(dst, instr(dst, '/') + 1)"), F.lit("."), F.lit(1))
+    rows = g.edges.select("graph_id", "src", F.lit("java").alias("language"), F.concat(F.replace(body, F.lit("/"), F.lit(".")), F.lit(".Member")).alias("module"))
+    return resolve.resolve_imports(rows, g.parts).select("graph_id", "src", "module", "path")
+
+
+@query(sql("""
+SELECT graph_id, path, CASE WHEN n THEN 'new' ELSE language END AS language, CASE WHEN n AND a IS NULL THEN last_author WHEN n THEN a ELSE last_author END AS last_author
+FROM (SELECT *, length(path) % 2 = 0 AS n, CASE WHEN length(path) % 4 = 0 THEN 'someone' END AS a FROM files)
+""", more=FILES_SQL))
+def w2_upsert(g: TestGraph) -> DataFrame:
+    """Half of the files come again in another language, every second of them without an author."""
+    from depweave import store
+
+    old = g.files.select("graph_id", "path", "language", "last_author")
+    new = old.where(F.length("path") % 2 == 0).select("graph_id", "path", F.lit("new").alias("language"), F.when(F.length("path") % 4 == 0, "someone").alias("last_author"))
+    return store.upsert(old, new, ["graph_id", "path"], ("last_author",))
+
+
+@query(sql("SELECT graph_id, path, deleted OR length(path) % 3 = 0 AS deleted, NOT deleted AND length(path) % 3 = 0 AS pruned FROM parts"))
+def w4_prune(g: TestGraph) -> DataFrame:
+    from depweave import store
+
+    seen = g.parts.where(F.length("path") % 3 > 0).select("graph_id", "path")
+    return store.prune(g.parts.select("graph_id", "path", "deleted"), seen)
+
+
+@query(r"""
+SELECT page_id, CASE WHEN regexp_matches(u, '^https://[^/:]+[:/].+$') THEN regexp_extract(u, '^https://([^/:]+)[:/](.+?)(?:\.git)?$', 1) || '/' || regexp_extract(u, '^https://([^/:]+)[:/](.+?)(?:\.git)?$', 2) END AS slug, u AS clean
+FROM (SELECT page_id, regexp_replace(replace(url, '://', '://me:secret@') || '.git', '(https?://)[^/\s@]*@', '\1') AS u FROM pages)
+""")
+def w9_slug(g: TestGraph) -> DataFrame:
+    url = F.concat(F.replace("url", F.lit("://"), F.lit("://me:secret@")), F.lit(".git"))
+    return g._t("pages").select("page_id", P.repository_slug(url).alias("slug"), P.sanitised_url(url).alias("clean"))
+
+
+# ---- structure ---------------------------------------------------------------------
+
+DEGREE_SQL = """
+known AS (SELECT e.* FROM edges e SEMI JOIN live a ON a.graph_id = e.graph_id AND a.node = e.src SEMI JOIN live b ON b.graph_id = e.graph_id AND b.node = e.dst),
+deg AS (SELECT l.graph_id, l.node, coalesce(i, 0) AS fan_in, coalesce(o, 0) AS fan_out FROM live l
+  LEFT JOIN (SELECT graph_id, dst AS node, count(*) AS i FROM known GROUP BY ALL) USING (graph_id, node) LEFT JOIN (SELECT graph_id, src AS node, count(*) AS o FROM known GROUP BY ALL) USING (graph_id, node))
+"""
+SCC_SQL = DEGREE_SQL + """,
+closure AS (SELECT graph_id, src AS a, dst AS b FROM known UNION SELECT c.graph_id, a, k.dst FROM closure c JOIN known k ON k.graph_id = c.graph_id AND k.src = c.b),
+comp AS (SELECT l.graph_id, l.node, least(l.node, coalesce(min(x.b), l.node)) AS component, count(DISTINCT x.b) FILTER (WHERE x.b <> l.node) > 0 AS in_cycle FROM live l
+  LEFT JOIN (SELECT p.graph_id, p.a, p.b FROM closure p JOIN closure q ON q.graph_id = p.graph_id AND q.a = p.b AND q.b = p.a) x ON x.graph_id = l.graph_id AND x.a = l.node GROUP BY l.graph_id, l.node),
+dag AS (SELECT DISTINCT k.graph_id, a.component AS src, b.component AS dst FROM known k JOIN comp a ON a.graph_id = k.graph_id AND a.node = k.src JOIN comp b ON b.graph_id = k.graph_id AND b.node = k.dst WHERE a.component <> b.component)
+"""
+LAYER_SQL = SCC_SQL + """,
+depth AS (SELECT DISTINCT graph_id, component AS node, 0 AS h FROM comp UNION SELECT d.graph_id, g.dst, h + 1 FROM depth d JOIN dag g ON g.graph_id = d.graph_id AND g.src = d.node),
+layers AS (SELECT c.graph_id, c.node, component, CAST(max(h) AS BIGINT) AS layer, fan_in, fan_out, in_cycle FROM comp c JOIN depth d ON d.graph_id = c.graph_id AND d.node = c.component JOIN deg g ON g.graph_id = c.graph_id AND g.node = c.node GROUP BY ALL)
+"""
+
+
+def _measured(g: TestGraph) -> DataFrame:
+    return structure.metrics(g.live, g.edges)
+
+
+@query(sql("SELECT * FROM deg", more=DEGREE_SQL))
+def g2_degree(g: TestGraph) -> DataFrame:
+    return structure.degrees(g.live, structure.known_edges(g.live, g.edges))
+
+
+@query(sql("SELECT graph_id, node, component FROM comp", more=SCC_SQL))
+def g3_scc(g: TestGraph) -> DataFrame:
+    return _measured(g).select("graph_id", "node", "component")
+
+
+@query(sql("SELECT * FROM dag", more=SCC_SQL))
+def g4_condensation(g: TestGraph) -> DataFrame:
+    known = structure.known_edges(g.live, g.edges)
+    return structure.condensation(known, structure.condense(known))
+
+
+@query(sql("SELECT * FROM layers", more=LAYER_SQL))
+def g5_layers(g: TestGraph) -> DataFrame:
+    return _measured(g)
+
+
+@query(sql("SELECT graph_id, count(*) AS size, string_agg(node, ',' ORDER BY node) AS members FROM comp WHERE in_cycle GROUP BY graph_id, component", more=SCC_SQL))
+def g6_cycles(g: TestGraph) -> DataFrame:
+    return structure.cycles(_measured(g)).withColumn("members", F.array_join("members", ","))
+
+
+@query(sql("SELECT graph_id, node FROM deg WHERE fan_in = 0 AND fan_out > 0", more=DEGREE_SQL))
+def g7_entry_points(g: TestGraph) -> DataFrame:
+    return structure.entry_points(structure.degrees(g.live, structure.known_edges(g.live, g.edges)))
+
+
+@query(sql("SELECT graph_id, node FROM deg WHERE fan_in = 0 AND fan_out = 0", more=DEGREE_SQL))
+def g8_orphans(g: TestGraph) -> DataFrame:
+    return structure.orphans(structure.degrees(g.live, structure.known_edges(g.live, g.edges)))
+
+
+@query(sql("SELECT graph_id, node, fan_in, fan_out, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY fan_in DESC, node) AS rank FROM deg WHERE fan_in > 0) WHERE rank <= 15", more=DEGREE_SQL))
+def g9_hubs(g: TestGraph) -> DataFrame:
+    return structure.hubs(structure.degrees(g.live, structure.known_edges(g.live, g.edges)))
+
+
+@query(sql("SELECT graph_id, max(layer) AS max_layer FROM layers GROUP BY ALL", more=LAYER_SQL))
+def g10_max_layer(g: TestGraph) -> DataFrame:
+    return structure.max_layer(_measured(g))
+
+
+@query(sql("SELECT DISTINCT k.graph_id, k.src, k.dst, a.layer FROM known k JOIN layers a ON a.graph_id = k.graph_id AND a.node = k.src JOIN layers b ON b.graph_id = k.graph_id AND b.node = k.dst WHERE a.layer = b.layer", more=LAYER_SQL))
+def g12_level_edges(g: TestGraph) -> DataFrame:
+    return structure.level_edges(structure.known_edges(g.live, g.edges), _measured(g))
+
+
+# ---- history -----------------------------------------------------------------------
+
+CHURN_SQL = DEGREE_SQL + """,
+touched AS (SELECT c.graph_id, commit_seq, path FROM commit_files c SEMI JOIN live l ON l.graph_id = c.graph_id AND l.node = c.path),
+churn AS (SELECT l.graph_id, l.node AS path, count(t.path) AS commits FROM live l LEFT JOIN touched t ON t.graph_id = l.graph_id AND t.path = l.node GROUP BY ALL),
+narrow AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY graph_id, commit_seq) AS w FROM touched) WHERE w BETWEEN 2 AND 60),
+pairs AS (SELECT a.graph_id, a.path AS a, b.path AS b, count(*) AS shared FROM narrow a JOIN narrow b ON b.graph_id = a.graph_id AND b.commit_seq = a.commit_seq AND a.path < b.path GROUP BY ALL HAVING count(*) >= 3),
+coupled AS (SELECT p.*, shared / (x.commits + y.commits - shared) AS strength FROM pairs p JOIN churn x ON x.graph_id = p.graph_id AND x.path = a JOIN churn y ON y.graph_id = p.graph_id AND y.path = b)
+"""
+
+
+def _live_paths(g: TestGraph) -> DataFrame:
+    return g.live.withColumnRenamed("node", "path")
+
+
+@query(sql("SELECT * FROM churn", one=True, more=CHURN_SQL), one=True)
+def h1_churn(g: TestGraph) -> DataFrame:
+    return history.churn(g.commit_files, _live_paths(g))
+
+
+@query(sql("SELECT * FROM coupled", one=True, more=CHURN_SQL), one=True)
+def h2_coupling(g: TestGraph) -> DataFrame:
+    return history.coupling(g.commit_files, _live_paths(g))
+
+
+@query(sql("SELECT c.*, EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = c.graph_id AND ((e.src = a AND e.dst = b) OR (e.src = b AND e.dst = a))) AS has_import_edge FROM coupled c", one=True, more=CHURN_SQL), one=True)
+def h3_hidden_coupling(g: TestGraph) -> DataFrame:
+    return history.with_import_edge(history.coupling(g.commit_files, _live_paths(g)), g.edges)
+
+
+@query(sql("SELECT graph_id, path, commits, fan_in, score, CAST(rank AS INT) AS rank FROM (SELECT c.graph_id, path, commits, fan_in, commits * fan_in AS score, row_number() OVER (PARTITION BY c.graph_id ORDER BY commits * fan_in DESC, path) AS rank FROM churn c JOIN deg d ON d.graph_id = c.graph_id AND d.node = c.path WHERE commits * fan_in > 0) WHERE rank <= 15", one=True, more=CHURN_SQL), one=True)
+def h4_risk(g: TestGraph) -> DataFrame:
+    return history.risk(history.churn(g.commit_files, _live_paths(g)), structure.degrees(g.live, structure.known_edges(g.live, g.edges)))
+
+
+# ---- views -------------------------------------------------------------------------
+
+VIEW_SQL = DEGREE_SQL + """,
+fs AS (SELECT s.graph_id, s.src, s.dst FROM symbol_imports s SEMI JOIN live l ON l.graph_id = s.graph_id AND l.node = s.src),
+nodes AS (SELECT graph_id, 'file:' || node AS id, 'file' AS kind, node AS path FROM live UNION ALL SELECT DISTINCT graph_id, 'sym:' || dst, 'symbol', NULL FROM fs),
+links AS (SELECT graph_id, 'file:' || src AS src, 'file:' || dst AS dst FROM known UNION SELECT graph_id, 'file:' || src, 'sym:' || dst FROM fs),
+place AS (SELECT graph_id, id, CASE WHEN kind = 'file' AND len(string_split(path, '/')) > 1 THEN 'dir:' || split_part(path, '/', 1) ELSE id END AS cluster, CASE WHEN kind = 'file' THEN 'dir_cluster' ELSE kind END AS kind FROM nodes),
+folded AS (SELECT graph_id, cluster AS id, kind, CASE WHEN kind <> 'symbol' THEN count(*) END AS file_count FROM place GROUP BY graph_id, cluster, kind),
+rolled AS (SELECT l.graph_id, a.cluster AS src, b.cluster AS dst, count(*) AS weight FROM links l JOIN place a ON a.graph_id = l.graph_id AND a.id = l.src JOIN place b ON b.graph_id = l.graph_id AND b.id = l.dst WHERE a.cluster <> b.cluster GROUP BY ALL)
+"""
+
+
+@query(sql("SELECT graph_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY src, dst) AS r FROM links) WHERE r <= 10000", more=VIEW_SQL))
+def v1_full_capped(g: TestGraph) -> DataFrame:
+    """The feature is the cap: 10 000 edges of each repository."""
+    return cluster.capped(*cluster.graph_of(g.files, g.imports))[1]
+
+
+@query(sql("SELECT * FROM folded", more=VIEW_SQL))
+def v2_cluster_nodes(g: TestGraph) -> DataFrame:
+    return cluster.clustered(*cluster.graph_of(g.files, g.imports), 1)[0]
+
+
+@query(sql("SELECT * FROM rolled", more=VIEW_SQL))
+def v3_cluster_edges(g: TestGraph) -> DataFrame:
+    return cluster.clustered(*cluster.graph_of(g.files, g.imports), 1)[1]
+
+
+@query(sql("""
+SELECT f.graph_id, f.id, f.file_count, coalesce(i, 0) AS fan_in, coalesce(o, 0) AS fan_out FROM folded f
+LEFT JOIN (SELECT graph_id, dst AS id, count(*) AS i FROM rolled GROUP BY ALL) USING (graph_id, id) LEFT JOIN (SELECT graph_id, src AS id, count(*) AS o FROM rolled GROUP BY ALL) USING (graph_id, id) WHERE kind <> 'symbol'
+""", more=VIEW_SQL))
+def v4_overview(g: TestGraph) -> DataFrame:
+    """Directories with their degrees over rolled-up edges; an edge counts once whatever its weight."""
+    nodes, edges = cluster.clustered(*cluster.graph_of(g.files, g.imports), 1)
+    d = structure.degrees(nodes.select("graph_id", F.col("id").alias("node")), edges.select("graph_id", "src", "dst")).withColumnRenamed("node", "id")
+    return nodes.where("kind <> 'symbol'").join(d, ["graph_id", "id"]).select("graph_id", "id", "file_count", "fan_in", "fan_out")
+
+
+@query(sql("""
+SELECT graph_id, CASE WHEN len(string_split(node, '/')) > 2 THEN 'dir:brand_1/' || split_part(node, '/', 2) ELSE 'file:' || node END AS id, count(*) AS file_count FROM live WHERE starts_with(node, 'brand_1/') GROUP BY ALL
+"""))
+def v5_expand(g: TestGraph) -> DataFrame:
+    return cluster.expanded(g.files, g.imports, "/brand_1/")[0].select("graph_id", "id", F.coalesce("file_count", F.lit(1)).cast("long").alias("file_count"))
+
+
+def _near(edges: str) -> str:
+    return f"SELECT graph_id, node AS n FROM good UNION SELECT e.graph_id, e.t FROM good s JOIN ({edges}) e ON e.graph_id = s.graph_id AND e.s = s.node"
+
+
+@query(sql("""
+SELECT DISTINCT k.graph_id, k.src, k.dst FROM known k JOIN (SELECT *, 'f' AS side FROM forth UNION ALL SELECT *, 'b' FROM back) n ON n.graph_id = k.graph_id AND n.n = CASE WHEN side = 'f' THEN k.src ELSE k.dst END
+""", more=DEGREE_SQL + ", good AS (SELECT s.* FROM seed s SEMI JOIN live l ON l.graph_id = s.graph_id AND l.node = s.node),\nforth AS (" + _near("SELECT graph_id, src AS s, dst AS t FROM known") + "),\nback AS (" + _near("SELECT graph_id, dst AS s, src AS t FROM known") + ")"))
+def v6_subgraph(g: TestGraph) -> DataFrame:
+    return reach.neighbourhood_edges(g.edges, g.most_imported(), g.live, 2)
+
+
+@query(sql("SELECT graph_id, hop, string_agg(DISTINCT node, ',' ORDER BY node) AS paths FROM (SELECT * FROM found UNION ALL SELECT * FROM found2) GROUP BY graph_id, hop",
+           more=_bfs(_BACK, hops=2) + "," + _bfs(_FORTH, hops=2).replace("e AS", "e2 AS").replace("walk", "walk2").replace("found", "found2").replace("FROM e JOIN", "FROM e2 e JOIN").replace("w JOIN e ON", "w JOIN e2 e ON")))
+def v8_impact(g: TestGraph) -> DataFrame:
+    seed = g.most_imported()
+    both = tools.imported_by(g.files, g.imports, seed, 2).unionByName(tools.imports_of(g.files, g.imports, seed, 2))
+    return tools.impact_rings(both).withColumn("paths", F.array_join("paths", ","))
+
+
+@query(sql("SELECT graph_id, node, least(32.0, 9.0 + 4.5 * sqrt(fan_in)) AS radius FROM deg", more=DEGREE_SQL))
+def l1_radius(g: TestGraph) -> DataFrame:
+    return structure.degrees(g.live, structure.known_edges(g.live, g.edges)).select("graph_id", "node", views.file_radius(F.col("fan_in")).alias("radius"))
+
+
+PLACE_SQL = DEGREE_SQL + """,
+rowed AS (SELECT graph_id, node, CAST(length(node) % 9 AS BIGINT) AS r, row_number() OVER (PARTITION BY graph_id, length(node) % 9 ORDER BY node) - 1 AS slot, count(*) OVER (PARTITION BY graph_id, length(node) % 9) AS w FROM live),
+placed AS (SELECT graph_id, node, r, (slot + (max(w) OVER (PARTITION BY graph_id) - w) / 2.0) * 130.0 AS x, r * 190.0 AS y FROM rowed)
+"""
+
+
+def _placed(g: TestGraph) -> DataFrame:
+    """Rows by length of path, so that rows do not depend on the shape of the graph."""
+    n = g.live.select("graph_id", "node", F.col("node").alias("path"), F.pmod(F.length("node"), F.lit(9)).cast("long").alias("layer"))
+    return views.positions(views.rows_of(n))
+
+
+@query(sql("SELECT graph_id, node, x::DOUBLE AS x, y::DOUBLE AS y FROM placed", more=PLACE_SQL))
+def l5_positions(g: TestGraph) -> DataFrame:
+    return _placed(g).select("graph_id", "node", "x", "y")
+
+
+@query(sql("""
+SELECT g.graph_id, count(q.xs) AS crossings FROM (SELECT DISTINCT graph_id FROM live) g LEFT JOIN
+ (SELECT p.graph_id, p.xs FROM ends p JOIN ends q ON q.graph_id = p.graph_id AND q.rs = p.rs AND q.rt = p.rt AND p.xs < q.xs AND p.xt > q.xt) q USING (graph_id) GROUP BY ALL
+""", more=PLACE_SQL + ", ends AS (SELECT DISTINCT k.graph_id, src, dst, a.r AS rs, b.r AS rt, a.x AS xs, b.x AS xt FROM known k JOIN placed a ON a.graph_id = k.graph_id AND a.node = k.src JOIN placed b ON b.graph_id = k.graph_id AND b.node = k.dst WHERE a.r <> b.r)"))
+def l6_crossings(g: TestGraph) -> DataFrame:
+    return views.crossings(structure.known_edges(g.live, g.edges), _placed(g))
+
+
+@query(sql("SELECT c.graph_id, path, CAST(floor(greatest(0, least(1, commits * fan_in / max(commits * fan_in) OVER (PARTITION BY c.graph_id))) * 4 + 0.5) AS INT) AS step FROM churn c JOIN deg d ON d.graph_id = c.graph_id AND d.node = c.path", one=True, more=CHURN_SQL), one=True)
+def l7_risk_step(g: TestGraph) -> DataFrame:
+    from pyspark.sql import Window
+
+    scored = history.churn(g.commit_files, _live_paths(g)).join(structure.degrees(g.live, structure.known_edges(g.live, g.edges)).withColumnRenamed("node", "path"), ["graph_id", "path"])
+    score = views.risk_score(F.col("commits"), F.col("fan_in"))
+    return scored.withColumn("score", score).select("graph_id", "path", views.risk_step(F.col("score"), F.max("score").over(Window.partitionBy("graph_id"))).alias("step"))
+
+
+@query(sql("SELECT graph_id, node, concat_ws(' ', 'file', CASE WHEN fan_in = 0 AND fan_out > 0 THEN 'entry' END, CASE WHEN in_cycle THEN 'cycle' END) AS class FROM layers", more=LAYER_SQL))
+def l8_node_class(g: TestGraph) -> DataFrame:
+    m = _measured(g)
+    return m.select("graph_id", "node", views.node_class(F.lit("file"), F.col("fan_in"), F.col("fan_out"), F.col("in_cycle")).alias("class"))
+
+
+# ---- without an SQL counterpart ----------------------------------------------------
+
+
+@query()
+def x1_extract_python(g: TestGraph) -> DataFrame:
+    """Every function becomes a small Python source, which is parsed back into functions, imports and calls."""
+    from depweave import extract
+
+    body = F.concat(F.lit("import os\n\n\nclass C:\n    def "), "name", F.lit("(self):\n        return self."), "name", F.lit("()\n"))
+    sources = g.functions.select("graph_id", F.concat("path", F.lit("."), "name", F.lit(".py")).alias("path"), F.lit("py").alias("language"), body.cast("binary").alias("content"))
+    return extract.functions_of(extract.extracted(sources))
+
+
+@query()
+def l3_layer_order(g: TestGraph) -> DataFrame:
+    from depweave.plans import layout
+
+    m = _measured(g).withColumn("path", F.col("node"))
+    return layout.ordered(views.rows_of(m), structure.known_edges(g.live, g.edges))
