@@ -65,22 +65,31 @@ def levenshtein(a: str, b: str) -> int:
     return row[-1]
 
 
+def piecewise(a: list[str], b: list[str], size: int = 64) -> int:
+    return sum(levenshtein(" ".join(a[i : i + size]), " ".join(b[i : i + size])) for i in range(0, max(len(a), len(b)), size))
+
+
 def dedup_lines(rows: list[tuple], min_words: int = 5, similarity: float = 0.8) -> dict:
     """{(id, text): text without cut lines}; rows (id, text), equal rows count once, null ids first."""
     rows = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1] or "")))
     places, fp_of = {}, {}
     for n, (_, text) in enumerate(rows):
         for pos, line in enumerate((text or "").split("\n")):
-            line = regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" ")
+            line = regex.sub(r"[\x00-/:-@\[-`{-\x7F]+", " ", line.lower()).strip(" ")
             w = line.split(" ")
             if len(w) >= min_words:
                 places.setdefault(line, []).append((n, pos))
-                fp_of[line] = majority([xxhash.xxh64_intdigest(x, 42) for x in w])
+                fp_of[line] = majority([xxhash.xxh64_intdigest(x, 42) for x in w if len(x.encode()) >= 4])
     by_fp: dict[int, list[str]] = {}
     for line in sorted(places, key=lambda x: places[x][0]):
         by_fp.setdefault(fp_of[line], []).append(line)
     s = Sets()
-    alike = lambda a, b: levenshtein(a, b) <= int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+
+    def alike(a: str, b: str) -> bool:
+        wa, wb = a.split(" "), b.split(" ")
+        common = 2 * len(set(wa) & set(wb)) >= max(len(set(wa)), len(set(wb)))
+        return common and piecewise(wa, wb) <= int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+
     for group in by_fp.values():
         for line in group:
             s.find(line)
