@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
+from collections.abc import Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweave.functions import paths as P
+from depweave.session import shared_dir
 
 
 def ignore_regex(pattern: str) -> tuple[str, bool] | None:
@@ -57,23 +63,65 @@ def ignored(path: Column, lines: list[str]) -> Column:
 
 
 def scan(spark: SparkSession, root: str, graph_id: str, ignore_lines: list[str] | None = None) -> DataFrame:
-    """(graph_id, path, language, content) of the source files under ``root``.
+    """(graph_id, path, language, content) of the source files of a tree in a store that executors read.
 
     Directories that never count and files of unknown extensions are left out by
-    conditions on the path; the content of a file that fails them is not read.
+    conditions on the path.  Spark's file sources hide names that begin with ``_`` or
+    ``.``; for working copies, where such files count, use :func:`scan_clone`.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = re.sub(r"^file:/*", "/", root.rstrip("/")) if "://" not in root or root.startswith("file:") else root.rstrip("/")
-    full = F.regexp_replace(F.col("path"), "^file:/*", "/") if base.startswith("/") else F.col("path")
-    rows = files.select(F.substring(full, len(base) + 2, 1_000_000).alias("path"), "content")
-    language = P.language_of(F.col("path"))
-    rows = rows.withColumn("language", language).where(F.col("language").isNotNull() & ~P.in_skipped_directory(F.col("path")))
+    bare = F.regexp_replace(F.col("path"), "^file:/*", "/")
+    base = re.sub("^file:/*", "/", root.rstrip("/"))
+    rows = files.select(F.substring(bare, len(base) + 2, 1_000_000).alias("path"), "content")
+    rows = rows.withColumn("language", P.language_of(F.col("path"))).where(F.col("language").isNotNull() & ~P.in_skipped_directory(F.col("path")))
     if ignore_lines:
         rows = rows.where(~ignored(F.col("path"), ignore_lines))
     return rows.select(F.lit(graph_id).alias("graph_id"), "path", "language", "content")
 
 
-def root_ignore_lines(spark: SparkSession, root: str) -> list[str]:
-    """The lines of the ignore file at the root, if there is one (one small file)."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", ".gitignore").load(root).select("content").take(1)
-    return bytes(found[0]["content"]).decode("utf-8", "replace").splitlines() if found else []
+def is_ignored(path: str, rules: list[tuple[str, bool]]) -> bool:
+    out = False
+    for pattern, negated in rules:
+        if re.match(pattern, path):
+            out = not negated
+    return out
+
+
+def walk(root: str | Path) -> Iterator[tuple[str, str]]:
+    """(relative path, language) of the source files of a working copy; its own ignore file at the root counts."""
+    root = Path(root)
+    lines = (root / ".gitignore").read_text("utf-8", "replace").splitlines() if (root / ".gitignore").is_file() else []
+    rules = [r for r in map(ignore_regex, lines) if r]
+    for folder, inner, names in os.walk(root):
+        inner[:] = sorted(d for d in inner if d not in P.SKIPPED_DIRECTORIES)
+        for name in sorted(names):
+            path = (Path(folder) / name).relative_to(root).as_posix()
+            language = P.EXTENSION_LANGUAGE.get(Path(name).suffix.lower())
+            if language and not is_ignored(path, rules):
+                yield path, language
+
+
+def scan_clone(spark: SparkSession, root: str | Path, graph_id: str, chunk_bytes: int = 64_000_000) -> DataFrame:
+    """(graph_id, path, language, content) of a working copy on the driver.
+
+    Executors do not see the driver's folders, so the sources are copied into a
+    Parquet table in the shared folder, ``chunk_bytes`` at a time.
+    """
+    table = f"{shared_dir(spark)}/tables/sources-{uuid.uuid4().hex}"
+    schema = pa.schema([("graph_id", pa.string()), ("path", pa.string()), ("language", pa.string()), ("content", pa.binary())])
+    rows: list[dict] = []
+    size = 0
+
+    def put() -> None:
+        spark.createDataFrame(pa.Table.from_pylist(rows, schema)).write.mode("append").parquet(table)
+        rows.clear()
+
+    for path, language in walk(root):
+        content = (Path(root) / path).read_bytes()
+        rows.append({"graph_id": graph_id, "path": path, "language": language, "content": content})
+        size += len(content)
+        if size >= chunk_bytes:
+            put()
+            size = 0
+    put()
+    return spark.read.parquet(table)
