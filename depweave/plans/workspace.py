@@ -44,7 +44,7 @@ class Workspace:
     # ---- tools ---------------------------------------------------------------------
 
     def list_repos(self) -> list[dict]:
-        return [r.asDict() for r in tools.list_repos(self.store.table("repositories")).collect()]
+        return [r.asDict() for r in tools.list_repos(self.store.repositories()).collect()]
 
     def repo_info(self, graph_id: str) -> dict:
         t = self._tables(graph_id)

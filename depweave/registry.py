@@ -516,3 +516,58 @@ def l3_layer_order(g: TestGraph) -> DataFrame:
 
     m = _measured(g).withColumn("path", F.col("node"))
     return layout.ordered(views.rows_of(m), structure.known_edges(g.live, g.edges))
+
+
+# ---- smaller pieces ----------------------------------------------------------------
+
+
+@query(sql("SELECT * FROM known", more=DEGREE_SQL))
+def g1_known_edges(g: TestGraph) -> DataFrame:
+    return structure.known_edges(g.live, g.edges)
+
+
+@query(sql("SELECT graph_id, a, b, shared, has_import_edge, CAST(rank AS INT) AS rank FROM (SELECT c.*, EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = c.graph_id AND ((e.src = a AND e.dst = b) OR (e.src = b AND e.dst = a))) AS has_import_edge, row_number() OVER (PARTITION BY graph_id ORDER BY strength DESC, shared DESC, a, b) AS rank FROM coupled c) WHERE rank <= 20", one=True, more=CHURN_SQL), one=True)
+def h3_strongest_coupling(g: TestGraph) -> DataFrame:
+    """The feature is the cap: the 20 strongest pairs.  Strengths are rounded half to even, which SQL does not do."""
+    pairs = history.with_import_edge(history.coupling(g.commit_files, _live_paths(g)), g.edges)
+    return history.strongest(pairs).select("graph_id", "a", "b", "shared", "has_import_edge", "rank")
+
+
+@query(sql("SELECT DISTINCT e.graph_id, dst AS node, 'outgoing' AS side FROM edges e SEMI JOIN seed s ON s.graph_id = e.graph_id AND s.node = e.src UNION SELECT e.graph_id, src, 'incoming' FROM edges e SEMI JOIN seed s ON s.graph_id = e.graph_id AND s.node = e.dst"))
+def l9_selection(g: TestGraph) -> DataFrame:
+    return views.selection(g.edges, g.most_imported())
+
+
+@query(sql("SELECT graph_id, node, fan_in, CASE WHEN max(fan_in) OVER (PARTITION BY graph_id) > 0 THEN fan_in / max(fan_in) OVER (PARTITION BY graph_id) ELSE 0 END AS share FROM deg", more=DEGREE_SQL))
+def l10_shares(g: TestGraph) -> DataFrame:
+    return views.shares(structure.degrees(g.live, structure.known_edges(g.live, g.edges)), "fan_in").select("graph_id", "node", "fan_in", "share")
+
+
+@query(sql("SELECT DISTINCT graph_id, path AS src, nxt AS dst FROM (SELECT graph_id, path, lead(path) OVER (PARTITION BY graph_id, commit_seq ORDER BY path) AS nxt FROM commit_files) WHERE nxt IS NOT NULL", one=True), one=True)
+def v7_path_edges(g: TestGraph) -> DataFrame:
+    chains = g.commit_files.groupBy("graph_id", "commit_seq").agg(F.array_sort(F.collect_set("path")).alias("chain"))
+    return views.path_edges(chains)
+
+
+@query(sql("SELECT graph_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, src ORDER BY length(dst), dst) AS r FROM edges) WHERE r = 1"))
+def v11_first_of(g: TestGraph) -> DataFrame:
+    return cluster.first_of(g.edges, ["graph_id", "src"], [F.length("dst"), "dst"])
+
+
+@query(sql("SELECT graph_id, src, dst FROM edges UNION SELECT graph_id, dst, src FROM edges"))
+def w3_edge_upsert(g: TestGraph) -> DataFrame:
+    from depweave import store
+
+    return store.add_edges(g.edges, g.edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+@query(sql("SELECT DISTINCT graph_id, replace(graph_id, '/', '__') AS directory FROM parts"))
+def w10_directory_name(g: TestGraph) -> DataFrame:
+    return g.parts.select("graph_id", P.directory_name(F.col("graph_id")).alias("directory")).distinct()
+
+
+@query(sql("SELECT graph_id, path, CAST(length(path) - length(split_part(path, '/', -1)) - 1 AS INT) AS n, split_part(path, '/', 1) || '/x' AS joined FROM parts"))
+def r6_path_normalisation(g: TestGraph) -> DataFrame:
+    p = F.col("path")
+    up = P.joined(P.dirname(p), F.when(F.size(F.split(p, "/")) > 2, "../y/../x").otherwise("x"))
+    return g.parts.select("graph_id", "path", F.length(P.dirname(p)).alias("n"), up.alias("joined"))
