@@ -30,11 +30,11 @@ from pyspark.sql import types as T
 
 from depweave.session import materialise
 
-from .textbytes import ALNUM_LOWER, Chunk, chunks
+from .textbytes import ALNUM_LOWER, Chunk, bounded_batches, chunks, returned
 
 WINDOW = 10
 BLOCK_BYTES = 32_000_000
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 2_000_000
 
 
 @dataclass
@@ -183,6 +183,7 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, blo
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: n_words, n_hit, items (sorted ids), and the longest verbatim match with its item and word number."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     blocks = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, item_col, item_text_col, window, block_bytes)]
     slim = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), F.monotonically_increasing_id().alias("__row"))
     if len(blocks) > 1:
@@ -196,7 +197,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     def one(bc):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = bc.value
-            for b in batches:
+            for b in returned(batches):
                 if not b.num_rows:
                     continue
                 words, spans, items, longest = [], [None] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
@@ -248,12 +249,13 @@ def union(start: np.ndarray, end: np.ndarray) -> list[dict]:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark window."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     at = docs.columns.index(text_col)
 
     def one(bc):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = bc.value
-            for b in batches:
+            for b in returned(batches):
                 keep = np.ones(b.num_rows, bool)
                 for c in chunks(b.column(at), SHARD_BYTES):
                     keep[c.lo + scan(c, block).text] = False

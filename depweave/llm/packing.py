@@ -32,13 +32,13 @@ from pyspark.sql import types as T
 
 from depweave.session import materialise
 
-from .textbytes import chunks
+from .textbytes import bounded_batches, chunks, returned
 
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 _coders: dict[str, WordCoder] = {}
 
@@ -142,13 +142,14 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _batches(column: pa.Array, most: int = 4_000_000) -> Iterator[list[bytes]]:
+def _batches(column: pa.Array, most: int = 2_000_000) -> Iterator[list[bytes]]:
     for c in chunks(column, most):
         yield [x or b"" for x in column[c.lo : c.hi].cast(pa.binary()).to_pylist()]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, and (task, rank): its place among the task's pieces of its length."""
+    bounded_batches(docs.sparkSession)
     path = path or tokenizer_path()
     slim = docs.select(id_col, F.col(text_col).cast("string").alias("__text"), F.spark_partition_id().alias("task"))
     longs = ("piece", "start", "length", "ids_crc32", "rank")
@@ -157,7 +158,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
         seen = np.zeros(capacity + 1, np.int64)
-        for b in batches:
+        for b in returned(batches):
             base = 0
             for texts in _batches(b.column(1)):
                 ids, sizes = code.encode(texts)
@@ -290,7 +291,7 @@ def sequences(docs: DataFrame, packed: DataFrame, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
-        for b in batches:
+        for b in returned(batches):
             base = 0
             for texts in _batches(b.column(1), 1_000_000):
                 ids, sizes = code.encode(texts)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import in_fold, labelled_sample
-from .textbytes import NOT_SPACE, Chunk, chunks, duplicated, mix
+from .textbytes import NOT_SPACE, Chunk, bounded_batches, chunks, duplicated, mix, returned
 
 #: Bounds of the training sample: documents per class, and lines of a document used in it.
 SAMPLE_PER_CLASS = 1500
@@ -187,6 +187,7 @@ def document_scores(field: Field, c: Chunk) -> np.ndarray:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, exclude=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Field:
     """Fits on at most ``per_class`` labelled documents of each class, with at most ``SAMPLE_LINES`` lines of each."""
+    bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, per_class, exclude, id_col, text_col, "quality-sample").select(id_col, "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +213,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, exclude=None, id_col: str =
 
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) per row."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in returned(batches):
             if b.num_rows:
                 p = np.concatenate([document_scores(sent.value, c) for c in chunks(b.column(1))])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], names=[id_col, "score"])
@@ -225,10 +227,11 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, field: Field, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows, all columns, that score at least ``least``."""
+    bounded_batches(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in returned(batches):
             if b.num_rows:
                 p = np.concatenate([document_scores(sent.value, c) for c in chunks(b.column(at))])
                 yield b.filter(pa.array(p >= least))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbytes import NOT_SPACE, Chunk, chunks, duplicated, mix
+from .textbytes import NOT_SPACE, Chunk, bounded_batches, chunks, duplicated, mix
 
 #: n-gram length -> largest share of word characters inside repeated n-grams of that length.
 NGRAM_LIMITS = {5: 0.45, 7: 0.40, 10: 0.35}
@@ -82,6 +82,7 @@ def columns(lengths: Iterable[int]) -> list[str]:
 
 def repetition_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: Iterable[int] = (3, *NGRAM_LIMITS)) -> DataFrame:
     """One row per input row: the id and the measures of :func:`measure` as longs."""
+    bounded_batches(docs.sparkSession)
     lengths = tuple(sorted(set(lengths)))
     names = columns(lengths)
     slim = docs.select(docs[id_col], docs[text_col].cast("string").alias("__text"))

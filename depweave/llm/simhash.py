@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 from depweave.session import materialise
 
 from .components import connected_components
+from .textbytes import bounded_batches
 
 SHINGLE = 3
 SEED = 42
@@ -122,6 +123,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), size: int = SHINGLE) -> DataFrame:
     """The kept columns and ``fp``, the fingerprint's bits as a long."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([*[docs.schema[k] for k in keep], T.StructField("fp", T.LongType())])
 

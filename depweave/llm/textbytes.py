@@ -7,6 +7,8 @@ text longer than the bound is a chunk of its own.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +16,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
+
+#: Bytes of rows that Spark hands to Python at once; ten thousand long texts would be too much at a time.
+BATCH_BYTES = 8_000_000
 
 _rng = np.random.default_rng(20240229)
 _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -42,6 +47,22 @@ def _grown_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def bounded_batches(spark) -> None:
+    """Lowers the session's limit of bytes per Arrow batch to ``BATCH_BYTES``."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(str(spark.conf.get(key)).rstrip("b"))
+    if now < 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one, memory that is free goes back to the system, as workers stay for other stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads differences over all bits."""
     h = h ^ (h >> np.uint64(32))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import in_fold, labelled_sample
-from .textbytes import ALNUM_LOWER, Chunk, chunks, mix
+from .textbytes import ALNUM_LOWER, Chunk, bounded_batches, chunks, mix
 
 #: Bounds: documents per class in the sample, and weights of the model.
 SAMPLE_PER_CLASS = 3000
@@ -140,6 +140,7 @@ def fit(text: np.ndarray, slot: np.ndarray, count: np.ndarray, words: np.ndarray
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, exclude=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, identity_terms=IDENTITY_TERMS) -> Toxicity:
     """Fits on at most ``per_class`` labelled documents of each class."""
+    bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, per_class, exclude, id_col, text_col, "toxicity-sample").select(id_col, "label", "text")
     size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     nothing = Toxicity(np.zeros(0, np.uint64), np.zeros(0), 0.0, 0.0)
@@ -206,6 +207,7 @@ def text_scores(model: Toxicity, c: Chunk) -> np.ndarray:
 
 def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) per row."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
