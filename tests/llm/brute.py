@@ -66,7 +66,13 @@ def levenshtein(a: str, b: str) -> int:
 
 
 def piecewise(a: list[str], b: list[str], size: int = 64) -> int:
-    return sum(levenshtein(" ".join(a[i : i + size]), " ".join(b[i : i + size])) for i in range(0, max(len(a), len(b)), size))
+    """Distance by pieces of the words between the common beginning and end."""
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    space = bool(a) != bool(b)
+    return space + sum(levenshtein(" ".join(a[i : i + size]), " ".join(b[i : i + size])) for i in range(0, max(len(a), len(b)), size))
 
 
 def dedup_lines(rows: list[tuple], min_words: int = 5, similarity: float = 0.8) -> dict:
