@@ -241,6 +241,14 @@ def test_scores_agree_with_plain_counts(spark, head):
     assert suffix_tree.score(docs_of(spark, [])).count() == 0
 
 
+def test_contexts_are_counted_over_training_tokens(spark):
+    words = spark.createDataFrame([(b"the", 90, 95), (b"thy", 2, 2), (b"seen", 0, 4), (b"", 7, 8)], "word binary, train long, total long")
+    got = {(r["length"], r["context"], r["symbol"]): r["n"] for r in suffix_tree.count_contexts(words, 2).collect()}
+    th = ord("h") | ord("t") << 8
+    assert got[2, th, ord("e")] == 90 and got[2, th, ord("y")] == 2
+    assert got[0, 0, ord("h")] == 92 and got[0, 0, suffix_tree.END_OF_TEXT] == 7 and (0, 0, ord("s")) not in got
+
+
 # ---- 6 and 8 -------------------------------------------------------------------------
 
 
