@@ -1,9 +1,8 @@
 """Ordering of layered graphs with few edge crossings.
 
 Rows are swept by barycenters in alternating directions, then neighbours are
-swapped where that lowers the number of crossings.  A graph is small enough to be
-looked at, so each is ordered inside one task; graphs of over ``MAX_NODES`` nodes
-keep their order by path.
+swapped where that lowers the number of crossings (up to ``TRANSPOSE_NODES`` nodes).
+Each graph is ordered inside one task, whatever its size, and must fit its memory.
 """
 
 from __future__ import annotations
@@ -11,13 +10,12 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SWEEPS = 6
 PASSES = 4
 TRANSPOSE_NODES = 1200
-MAX_NODES = 20_000
 
 
 def barycenter(rows: list[list[str]], near: dict[str, list[str]], sweeps: int = SWEEPS) -> list[list[str]]:
@@ -72,10 +70,8 @@ def transpose(rows: list[list[str]], near: dict[str, list[str]], passes: int = P
 def ordered(placed: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, node, row, slot) with the slots of a :func:`views.rows_of` table changed to lower crossings."""
     schema = "graph_id string, node string, row long, slot int"
-    size = placed.withColumn("n", F.count("*").over(Window.partitionBy("graph_id")))
-    large = size.where(F.col("n") > MAX_NODES).select("graph_id", "node", "row", F.col("slot").cast("int").alias("slot"))
-    small = size.where(F.col("n") <= MAX_NODES).select("graph_id", "node", "row", "slot", F.lit(None).cast("string").alias("dst"))
-    keys = small.select("graph_id").distinct()
+    nodes = placed.select("graph_id", "node", "row", "slot", F.lit(None).cast("string").alias("dst"))
+    keys = nodes.select("graph_id").distinct()
     e = edges.join(keys, "graph_id", "left_semi").select("graph_id", F.col("src").alias("node"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("slot"), "dst").distinct()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -93,4 +89,4 @@ def ordered(placed: DataFrame, edges: DataFrame) -> DataFrame:
         out = [(pdf["graph_id"].iloc[0], v, int(k), i) for k, r in zip(groups.index, rows, strict=True) for i, v in enumerate(r)]
         return pd.DataFrame(out, columns=["graph_id", "node", "row", "slot"])
 
-    return small.unionByName(e).groupBy("graph_id").applyInPandas(one, schema).unionByName(large)
+    return nodes.unionByName(e).groupBy("graph_id").applyInPandas(one, schema)

@@ -246,6 +246,15 @@ def test_layout_reduces_crossings(spark):
     assert after < before / 2
 
 
+def test_layout_sweeps_large_graphs(spark):
+    n = 10_500
+    placed = [(G, f"{k}{i:05}", k, i) for k in range(2) for i in range(n)]
+    placed = spark.createDataFrame(placed, "graph_id string, node string, row long, slot int")
+    e = edges_df(spark, [(f"0{i:05}", f"1{n - 1 - i:05}") for i in range(n)])
+    slots = {r["node"]: r["slot"] for r in layout.ordered(placed, e).collect()}
+    assert len(slots) == 2 * n and all(slots[f"0{i:05}"] == slots[f"1{n - 1 - i:05}"] for i in range(n))
+
+
 def test_clusters(spark):
     paths = ["a/b/1", "a/b/2", "a/3", "4"]
     files = spark.createDataFrame([(G, p, False) for p in paths] + [(G, "a/dead", True)], "graph_id string, path string, deleted boolean")
