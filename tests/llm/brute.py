@@ -65,47 +65,31 @@ def levenshtein(a: str, b: str) -> int:
     return row[-1]
 
 
-def piecewise(a: list[str], b: list[str], size: int = 64) -> int:
-    """Distance by pieces of the words between the common beginning and end."""
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    space = bool(a) != bool(b)
-    return space + sum(levenshtein(" ".join(a[i : i + size]), " ".join(b[i : i + size])) for i in range(0, max(len(a), len(b)), size))
+def alike(a: str, b: str, similarity: float) -> bool:
+    most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+    return abs(len(a) - len(b)) <= most and levenshtein(a, b) <= most
+
+
+def normal_line(line: str) -> str:
+    return regex.sub(r"[\x00-/:-@\[-`{-\x7F]+", " ", line.lower()).strip(" ")
 
 
 def dedup_lines(rows: list[tuple], min_words: int = 5, similarity: float = 0.8) -> dict:
-    """{(id, text): text without cut lines}; rows (id, text), equal rows count once, null ids first."""
+    """{(id, text): text without cut lines}, all pairs of lines compared; rows (id, text), equal rows count once, null ids first."""
     rows = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1] or "")))
-    places, fp_of = {}, {}
+    places: dict[str, list] = {}
     for n, (_, text) in enumerate(rows):
         for pos, line in enumerate((text or "").split("\n")):
-            line = regex.sub(r"[\x00-/:-@\[-`{-\x7F]+", " ", line.lower()).strip(" ")
-            w = line.split(" ")
-            if len(w) >= min_words:
+            line = normal_line(line)
+            if len(line.split(" ")) >= min_words:
                 places.setdefault(line, []).append((n, pos))
-                fp_of[line] = majority([xxhash.xxh64_intdigest(x, 42) for x in w if len(x.encode()) >= 4])
-    by_fp: dict[int, list[str]] = {}
-    for line in sorted(places, key=lambda x: places[x][0]):
-        by_fp.setdefault(fp_of[line], []).append(line)
     s = Sets()
-
-    def alike(a: str, b: str) -> bool:
-        wa, wb = a.split(" "), b.split(" ")
-        common = 2 * len(set(wa) & set(wb)) >= max(len(set(wa)), len(set(wb)))
-        return common and piecewise(wa, wb) <= int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
-
-    for group in by_fp.values():
-        for line in group:
-            s.find(line)
-            if alike(group[0], line):
-                s.join(group[0], line)
-    reps = {fp: g[0] for fp, g in by_fp.items()}
-    for a in reps:
-        for b in reps:
-            if a < b and (a ^ b).bit_count() <= 2 and alike(reps[a], reps[b]):
-                s.join(reps[a], reps[b])
+    lines = sorted(places)
+    for i, a in enumerate(lines):
+        s.find(a)
+        for b in lines[:i]:
+            if alike(a, b, similarity):
+                s.join(a, b)
     groups: dict[str, list] = {}
     for line, at in places.items():
         groups.setdefault(s.find(line), []).extend(at)
