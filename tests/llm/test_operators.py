@@ -241,6 +241,81 @@ def test_scores_agree_with_plain_counts(spark, head):
     assert suffix_tree.score(docs_of(spark, [])).count() == 0
 
 
+def plain_word_tree(texts, root, depth, gain_bits, least, least_next):
+    """P(next | words before) by a dictionary of contexts, the last word first."""
+    states = {}
+
+    def p(before, w, k):
+        """At the longest state of at most k words."""
+        best = root[w]
+        for j in range(1, k + 1):
+            context = tuple(reversed(before[len(before) - j :])) if len(before) >= j else None
+            if context not in states:
+                break
+            t, own = states[context]
+            known = sum(own.values())
+            best = (own.get(w, 0) + (t - known + len(own)) * best) / (t + len(own))
+        return best
+
+    for k in range(1, depth + 1):
+        seen = collections.defaultdict(collections.Counter)
+        for x in texts:
+            for i in range(k, len(x)):
+                context = tuple(reversed(x[i - k : i]))
+                if k == 1 or context[:-1] in states:
+                    seen[context][x[i]] += 1
+        for context, c in seen.items():
+            t, own = sum(c.values()), {w: n for w, n in c.items() if n >= least_next}
+            before = list(reversed(context))
+            gain = sum(n * np.log2(n / t / p(before[1:], w, k - 1)) for w, n in own.items())
+            if t >= least and own and gain >= gain_bits:
+                states[context] = (t, own)
+    return p, states
+
+
+def test_word_tree_agrees_with_plain_contexts(spark):
+    r = random.Random(15)
+    nxt = {w: r.sample(range(7), 3) for w in range(7)}
+    sequences = []
+    for _ in range(120):
+        x = [r.randrange(7)]
+        for _ in range(r.randint(0, 25)):
+            x.append(r.choice(nxt[x[-1]]) if r.random() < 0.7 else r.randrange(7))
+        sequences.append(x)
+    count = collections.Counter(w for x in sequences for w in x)
+    order = [w for w, _ in sorted(count.items(), key=lambda c: (-c[1], c[0]))]
+    sequences = [[order.index(w) for w in x] for x in sequences]  # numbers by falling count
+    train = np.array([count[w] for w in order])
+    n = int(train.sum())
+    encoded = spark.createDataFrame([(False, x) for x in sequences] + [(True, [0, 1, 2] * 50)], "held_out boolean, slots array<int>")
+    tree = suffix_tree.grow_word_tree(encoded, n, train, train / n, 3, 4.0, 5 / n, 2 / n)
+    p, states = plain_word_tree(sequences, train / n, 3, 4.0, 5, 2)
+    assert tree.depth == 3 and sum(len(x) for x in tree.go[1:]) == len(states)
+    for x in [*sequences[:20], [0, 5, 5, 1, 6, 2, 2, 2]]:
+        got = tree.log_probability(np.array(x), np.arange(len(x)), np.log10(train / n)[x])
+        want = [p(x[:i], w, 3) for i, w in enumerate(x)]
+        assert np.allclose(10.0**got, want)
+        ends = np.array([[*x, w] for w in range(7)])  # the next words' probabilities add up to one
+        last = [tree.log_probability(e, np.arange(len(e)), np.log10(train / n)[e])[-1] for e in ends]
+        assert abs((10.0 ** np.array(last)).sum() - 1) < 1e-9
+
+
+def test_held_out_texts_do_not_move_scores(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = list(enumerate(texts(16, 200)))
+    options = {"head_words": 5, "min_share": 1e-3, "next_share": 2e-4, "gain_bits": 2.0}
+    scores = lambda x: {r["doc_id"]: r["score"] for r in suffix_tree.score(docs_of(spark, x), **options).collect() if r["doc_id"] not in held}
+    first = scores(rows)
+    other = scores([(i, "entirely other words " * 300 if i in held else t) for i, t in rows])
+    assert first.keys() == other.keys() and all(abs(first[i] - other[i]) < 1e-9 for i in first)
+
+
+def test_a_very_long_text_is_scored(spark):
+    rows = [(0, "word " * 400_000), (1, "x" * 300_000), (2, "a b c")]
+    got = suffix_tree.score(docs_of(spark, rows)).collect()
+    assert sorted(x["n_tokens"] for x in got) == [2, 4, 400_001] and all(np.isfinite(x["score"]) for x in got)
+
+
 def test_contexts_are_counted_over_training_tokens(spark):
     words = spark.createDataFrame([(b"the", 90, 95), (b"thy", 2, 2), (b"seen", 0, 4), (b"", 7, 8)], "word binary, train long, total long")
     got = {(r["length"], r["context"], r["symbol"]): r["n"] for r in suffix_tree.count_contexts(words, 2).collect()}
