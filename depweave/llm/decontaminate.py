@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays over the training words.
 
 Each shard (a bounded run of texts inside a task) gets a word-level suffix array;
-every window of every benchmark item is binary-searched in it, which yields all
-its occurrences at once.  Matches are then extended to the longest verbatim match
-of the item suffix that starts there.  Only positions that can match enter the
+every different window of the benchmark items is binary-searched in it, which yields
+all its occurrences at once.  Matches that don't go on to the left are then extended to
+the longest verbatim match of the item suffix that starts there, in parts of bounded
+size, so that repetitive texts cost time but no memory.  Only positions that can match enter the
 array: a run of words in which every word occurs in the benchmark and which is at
 least as long as the shortest window.  Words outside such runs cannot lie in any
 occurrence, so nothing is lost and the array is short on ordinary text.
@@ -35,6 +36,8 @@ from .textbytes import ALNUM_LOWER, Chunk, bounded_batches, chunks, returned
 WINDOW = 10
 BLOCK_BYTES = 32_000_000
 SHARD_BYTES = 2_000_000
+#: Pairs of places that are compared at once.
+PAIRS = 1_000_000
 
 
 @dataclass
@@ -44,12 +47,33 @@ class Block:
     vocabulary: np.ndarray  # sorted word hashes
     filter: np.ndarray  # by the hash's top 20 bits: may the word be in the vocabulary
     tokens: np.ndarray  # word ids of all items, one 0 after each item
-    window_start: np.ndarray  # into tokens
+    window_start: np.ndarray  # into tokens, of each different window
     window_length: np.ndarray
-    window_item: np.ndarray
+    place_begin: np.ndarray  # per window, into places
+    places: np.ndarray  # into tokens: everywhere that the windows stand
+    item_of: np.ndarray  # per token
     item_ids: list[str]
     shortest: int
-    deepest: int
+
+
+def window_classes(tokens: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A number per window (start, length), the same for the same words and length."""
+    out = np.zeros(len(start), np.int64)
+    wide = int(length.max(initial=0))
+    for k in range(wide.bit_length()):
+        step = 1 << k
+        if not k:
+            rank = tokens
+        else:
+            ahead = np.zeros_like(rank)
+            ahead[: -step // 2] = rank[step // 2 :]
+            rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + ahead, return_inverse=True)[1]
+        at = np.flatnonzero(length >> k & 1)
+        before = length[at] & (step - 1)  # the lower bits' words stand first
+        part = np.zeros(len(start), np.int64)
+        part[at] = rank[start[at] + before] + 1
+        out = np.unique(out * (int(part.max(initial=0)) + 1) + part, return_inverse=True)[1]
+    return np.unique(out * (wide + 1) + length, return_inverse=True)[1]
 
 
 def build_block(item_ids: list[str], texts: list[str | None], window: int = WINDOW) -> Block:
@@ -57,7 +81,7 @@ def build_block(item_ids: list[str], texts: list[str | None], window: int = WIND
     for c in chunks(pa.array(texts, pa.string())):
         c = c.lowered()
         starts, ends = c.spans(ALNUM_LOWER)
-        hashes.append(c.prefix_hash().of(starts, ends))
+        hashes.append(c.hashes(starts, ends))
         item_no.append(np.repeat(np.arange(c.lo, c.hi), np.diff(c.per_text(starts))))
     word = np.concatenate([*hashes, np.zeros(0, np.uint64)])
     item = np.concatenate([*item_no, np.zeros(0, np.int64)]).astype(np.int64)
@@ -72,7 +96,13 @@ def build_block(item_ids: list[str], texts: list[str | None], window: int = WIND
     at = at[(size[item[at]] >= window) | (left[at] == size[item[at]])]
     table = np.zeros(1 << 20, bool)
     table[(vocabulary >> np.uint64(44)).astype(np.int64)] = True
-    return Block(vocabulary, table, tokens, place[at], length[at], item[at], list(item_ids), int(length[at].min(initial=window)), int(size.max(initial=0)))
+    group = window_classes(tokens, place[at], length[at])
+    order = np.argsort(group, kind="stable")
+    begin = np.flatnonzero(np.diff(group[order], prepend=-1))
+    owner = np.zeros(len(tokens), np.int64)
+    owner[place] = item
+    first = order[begin]
+    return Block(vocabulary, table, tokens, place[at][first], length[at][first], np.append(begin, len(order)), place[at][order], owner, list(item_ids), int(length[at].min(initial=window)))
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -89,12 +119,13 @@ def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
     return order[tokens[order] > 0]
 
 
-def search(tokens: np.ndarray, order: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the range of ``order`` whose suffixes begin with it, by binary search of all windows at once."""
-    wide = int(block.window_length.max(initial=1))
+def search(tokens: np.ndarray, order: np.ndarray, block: Block, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the windows the range of ``order`` whose suffixes begin with it, by binary search of all windows at once."""
+    start, length = block.window_start[windows], block.window_length[windows]
+    wide = int(length.max(initial=1))
     reach = np.arange(wide)
-    inside = reach < block.window_length[:, None]
-    wanted = np.where(inside, block.tokens[np.minimum(block.window_start[:, None] + reach, len(block.tokens) - 1)], 0)
+    inside = reach < length[:, None]
+    wanted = np.where(inside, block.tokens[np.minimum(start[:, None] + reach, len(block.tokens) - 1)], 0)
     padded = np.concatenate([tokens, np.zeros(wide, tokens.dtype)])
     rows = np.arange(len(wanted))
 
@@ -115,14 +146,49 @@ def search(tokens: np.ndarray, order: np.ndarray, block: Block) -> tuple[np.ndar
 
 @dataclass
 class Hits:
-    """Occurrences in a shard: text number, word number in the text, item, verbatim length; and words per text."""
+    """Words per text; occurrences of different windows (text, word number, words); (text, item) pairs; (text, length, word number, item) of verbatim matches, each text's longest among them."""
 
     n_words: np.ndarray
     text: np.ndarray
     word: np.ndarray
     length: np.ndarray
-    item: np.ndarray
-    longest: np.ndarray
+    items: np.ndarray
+    matches: np.ndarray
+
+
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, ... for each i, ``size[i]`` of them."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def extended(tokens: np.ndarray, begin: np.ndarray, window: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into ``begin``, place in the items, words) of all verbatim matches that can't be longer on either side.
+
+    Pairs of an occurrence and a place of the window in the items are made in parts of
+    ``PAIRS``; those whose words before agree too belong to a match that begins there.
+    """
+    many = block.place_begin[window + 1] - block.place_begin[window]
+    parts = np.searchsorted(np.cumsum(many), np.arange(PAIRS, int(many.sum()) + PAIRS, PAIRS))
+    found = [], [], []
+    lo = 0
+    for hi in np.unique(np.minimum(parts + 1, len(begin))).tolist():
+        at = np.repeat(np.arange(lo, hi), many[lo:hi])
+        place = block.places[ranges(block.place_begin[window[lo:hi]], many[lo:hi])]
+        a = np.where(begin[at] > 0, tokens[begin[at] - 1], 0)
+        b = np.where(place > 0, block.tokens[place - 1], 0)
+        first = (a != b) | (a == 0)
+        at, place = at[first], place[first]
+        length = block.window_length[window[at]].astype(np.int64)
+        live = np.arange(len(at))
+        while len(live):
+            a = tokens[np.minimum(begin[at[live]] + length[live], len(tokens) - 1)]
+            b = block.tokens[np.minimum(place[live] + length[live], len(block.tokens) - 1)]
+            live = live[(a == b) & (a > 0)]
+            length[live] += 1
+        for x, v in zip(found, (at, place, length), strict=True):
+            x.append(v)
+        lo = hi
+    return tuple(np.concatenate([*x, np.zeros(0, np.int64)]) for x in found)
 
 
 def scan(c: Chunk, block: Block) -> Hits:
@@ -131,10 +197,10 @@ def scan(c: Chunk, block: Block) -> Hits:
     first = c.per_text(starts)
     counts = np.diff(first)
     none = np.zeros(0, np.int64)
-    empty = Hits(counts, none, none, none, none, none)
+    empty = Hits(counts, none, none, none, np.zeros((0, 2), np.int64), np.zeros((0, 4), np.int64))
     if not len(starts) or not len(block.window_start):
         return empty
-    word = c.prefix_hash().of(starts, ends)
+    word = c.hashes(starts, ends)
     maybe = np.flatnonzero(block.filter[(word >> np.uint64(44)).astype(np.int64)])
     slot = np.minimum(np.searchsorted(block.vocabulary, word[maybe]), len(block.vocabulary) - 1)
     known = block.vocabulary[slot] == word[maybe]
@@ -154,19 +220,21 @@ def scan(c: Chunk, block: Block) -> Hits:
     back = np.zeros(len(tokens), np.int64)
     back[place] = np.arange(len(at))
     order = suffix_array(tokens, int(block.window_length.max()))
-    low, high = search(tokens, order, block)
+    present = np.zeros(len(block.vocabulary) + 1, bool)
+    present[tokens] = True
+    windows = np.flatnonzero(present[block.tokens[block.window_start]])
+    low, high = search(tokens, order, block, windows)
     n = high - low
-    found = np.repeat(np.arange(len(n)), n)
-    begin = order[np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-    longest = block.window_length[found].astype(np.int64)
-    live = np.arange(len(found))
-    while len(live):  # further than the window: as long as the item and the text go on alike
-        a = tokens[np.minimum(begin[live] + longest[live], len(tokens) - 1)]
-        b = block.tokens[np.minimum(block.window_start[found[live]] + longest[live], len(block.tokens) - 1)]
-        live = live[(a == b) & (a > 0)]
-        longest[live] += 1
+    window = np.repeat(windows, n)
+    begin = order[ranges(low, n)]
     src = back[begin]
-    return Hits(counts, text[src], at[src] - first[text[src]], block.window_length[found].astype(np.int64), block.window_item[found], longest)
+    in_text = np.unique(np.stack([text[src], window], 1), axis=0)
+    many = block.place_begin[in_text[:, 1] + 1] - block.place_begin[in_text[:, 1]]
+    items = np.stack([np.repeat(in_text[:, 0], many), block.item_of[block.places[ranges(block.place_begin[in_text[:, 1]], many)]]], 1)
+    which, place, longest = extended(tokens, begin, window, block)
+    src_of = src[which]
+    matches = np.stack([text[src_of], longest, at[src_of] - first[text[src_of]], block.item_of[place]], 1)
+    return Hits(counts, text[src], at[src] - first[text[src]], block.window_length[window].astype(np.int64), np.unique(items, axis=0), matches)
 
 
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Block]:
@@ -206,11 +274,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                     words.append(h.n_words)
                     order = np.argsort(h.text, kind="stable")
                     for part in np.split(order, np.flatnonzero(np.diff(h.text[order])) + 1) if len(order) else ():
-                        i = c.lo + int(h.text[part[0]])
-                        spans[i] = union(h.word[part], h.word[part] + h.length[part])
-                        items[i] = sorted({block.item_ids[k] for k in np.unique(h.item[part])})
-                        k = part[np.lexsort((h.item[part], h.word[part], -h.longest[part]))[0]]
-                        longest[i] = {"length": int(h.longest[k]), "word": int(h.word[k]), "item": block.item_ids[h.item[k]]}
+                        spans[c.lo + int(h.text[part[0]])] = union(h.word[part], h.word[part] + h.length[part])
+                    for part in np.split(h.items, np.flatnonzero(np.diff(h.items[:, 0])) + 1) if len(h.items) else ():
+                        items[c.lo + int(part[0, 0])] = sorted({block.item_ids[k] for k in part[:, 1].tolist()})
+                    best = h.matches[np.lexsort((h.matches[:, 3], h.matches[:, 2], -h.matches[:, 1], h.matches[:, 0]))]
+                    for t, length, word, item in best[np.diff(best[:, 0], prepend=-1) != 0].tolist():
+                        longest[c.lo + t] = {"length": length, "word": word, "item": block.item_ids[item]}
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(2), pa.array(np.concatenate(words), pa.int64()), pa.array([x or [] for x in spans], arrow_span), pa.array([x or [] for x in items], pa.list_(pa.string())), pa.array(longest, arrow_best)],
                     names=[id_col, "__row", "n_words", "spans", "items", "longest"],

@@ -1,8 +1,8 @@
 """Quality rules: how much of a text lies inside repeated n-grams and repeated lines.
 
-Words are runs of characters other than space and U+0009 to U+000D.  Word hashes
-come from prefix hashes of the UTF-8 bytes, n-gram hashes roll over the word
-hashes for every length at once, and an n-gram counts as repeated when its hash
+Words are runs of characters other than space and U+0009 to U+000D.  Words
+are hashed by mixing in eight bytes at a time (64 bits, no polynomial whose collisions
+are known), n-gram hashes roll over the word hashes for every length at once, and an n-gram counts as repeated when its hash
 occurs twice or more in the same text.  All of it is numpy over Arrow buffers in
 one pass without a shuffle: each row depends on its own text alone.
 
@@ -48,22 +48,21 @@ def measure(c: Chunk, lengths: tuple[int, ...]) -> dict[str, np.ndarray]:
     total = lambda x: np.bincount(text_no, x, n).astype(np.int64)
     out = {"n_words": counts.astype(np.int64), "word_chars": total(width), "n_symbols": np.diff(c.per_text(np.flatnonzero(_SYMBOL[c.data])))}
 
-    hashes = c.prefix_hash()
     line_start, line_end, line_text = c.lines()
     has_word = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
     line_start, line_end, line_text = line_start[has_word], line_end[has_word], line_text[has_word]
-    again = duplicated(mix(hashes.of(line_start, line_end) + line_text.astype(np.uint64) * _TEXT_KEY), "first")
+    again = duplicated(mix(c.hashes(line_start, line_end) + line_text.astype(np.uint64) * _TEXT_KEY), "first")
     line_width = letters[line_end] - letters[line_start]
     out["n_dup_lines"] = np.bincount(line_text, again, n).astype(np.int64)
     out["line_chars"] = np.bincount(line_text, line_width, n).astype(np.int64)
     out["dup_line_chars"] = np.bincount(line_text, line_width * again, n).astype(np.int64)
 
-    word = hashes.of(starts, ends)
+    word = c.hashes(starts, ends)
     salt = text_no.astype(np.uint64) * _TEXT_KEY
     gram, left = word.copy(), counts
     room = np.repeat(first[1:], counts) - np.arange(len(starts))  # words from here to the end of the text
     for k in range(2, max(lengths) + 1):
-        gram = gram[:-1] * _ROLL + word[k - 1 :] if len(gram) else gram
+        gram = mix(gram[:-1]) * _ROLL + word[k - 1 :] if len(gram) else gram
         if k not in lengths:
             continue
         at = np.flatnonzero(room[: len(gram)] >= k)
