@@ -30,9 +30,12 @@ from pyspark.sql import types as T
 from .labelled import in_fold, labelled_sample
 from .textbytes import NOT_SPACE, Chunk, bounded_batches, chunks, duplicated, mix, returned
 
-#: Bounds of the training sample: documents per class, and lines of a document used in it.
+#: Bounds of the training sample: documents per class, and lines of a document, in runs of so many lines spread evenly over it.
 SAMPLE_PER_CLASS = 1500
 SAMPLE_LINES = 200
+RUN_LINES = 20
+#: Lines from which on a text's recursions run over segments side by side.
+MANY_LINES = 2000
 ROUNDS = 150
 PENALTY = 1e-3
 
@@ -55,8 +58,8 @@ _KEY = np.uint64(0x165667B19E3779F9)
 _ROLL = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def line_features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features with those of both neighbours, text number, characters) for each line of the chunk."""
+def line_columns(c: Chunk) -> tuple[Iterator[np.ndarray], np.ndarray, np.ndarray]:
+    """(``OWN`` columns of features of the chunk's lines, one after another; text number, bytes of each line)."""
     start, end, text = c.lines()
     n = len(start)
     word_start, word_end = c.spans(NOT_SPACE)
@@ -91,21 +94,54 @@ def line_features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last = c.data[np.maximum(word_end[np.maximum(hi - 1, 0)] - 1, 0)] if len(word) else np.zeros(n, np.uint8)
     first = c.data[word_start[np.minimum(lo, len(word) - 1)]] if len(word) else np.zeros(n, np.uint8)
     has = words > 0
-    own = np.stack(
-        [
-            np.ones(n, np.float32), np.log1p(words) / 4, np.minimum(size / some / 10, 3), np.minimum(within(_SYMBOLS) / some, 3), np.minimum(within(_BANG) / some, 3),
-            upper / np.maximum(upper + lower, 1), np.minimum(within(_DIGIT) / some, 2), np.minimum(within(_STOPS) / some, 1), np.minimum(within(_COMMAS) / some, 1), within(_FAR) / big,
-            np.minimum(within(_PIPE) / some, 1), np.minimum(within(_SLASH) / some, 2), count(seen_in_line) / some, count(as_before) / some, count(covered) / some, line_again,
-            has & _STOPS[last], has & _UPPER[first], ~has,
-        ],
-        1,
-    ).astype(np.float32)
-    full = np.zeros((n, WIDTH), np.float32)
+    def columns() -> Iterator[np.ndarray]:
+        yield np.ones(n, np.float32)
+        yield np.log1p(words) / 4
+        yield np.minimum(size / some / 10, 3)
+        yield np.minimum(within(_SYMBOLS) / some, 3)
+        yield np.minimum(within(_BANG) / some, 3)
+        yield upper / np.maximum(upper + lower, 1)
+        yield np.minimum(within(_DIGIT) / some, 2)
+        yield np.minimum(within(_STOPS) / some, 1)
+        yield np.minimum(within(_COMMAS) / some, 1)
+        yield within(_FAR) / big
+        yield np.minimum(within(_PIPE) / some, 1)
+        yield np.minimum(within(_SLASH) / some, 2)
+        yield count(seen_in_line) / some
+        yield count(as_before) / some
+        yield count(covered) / some
+        yield line_again
+        yield has & _STOPS[last]
+        yield has & _UPPER[first]
+        yield ~has
+
+    return columns(), text, np.maximum(end - start, 0)
+
+
+def line_features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features with those of both neighbours, text number, bytes) for each line of the chunk."""
+    columns, text, size = line_columns(c)
+    own = np.stack([x.astype(np.float32) for x in columns], 1)
+    full = np.zeros((len(text), WIDTH), np.float32)
     full[:, :OWN] = own
     near = np.flatnonzero(text[1:] == text[:-1])
     full[near + 1, OWN : 2 * OWN] = own[near]
     full[near, 2 * OWN :] = own[near + 1]
-    return full, text, np.maximum(end - start, 0)
+    return full, text, size
+
+
+def line_scores(emission: np.ndarray, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(emission score, text number, bytes) of each line, one column of features at a time."""
+    columns, text, size = line_columns(c)
+    here, below, above = (np.zeros(len(text)) for _ in range(3))
+    for i, x in enumerate(columns):
+        for total, w in zip((here, below, above), emission[i::OWN], strict=True):
+            if w:
+                total += x * w
+    same = text[1:] == text[:-1]
+    here[1:] += np.where(same, below[:-1], 0)
+    here[:-1] += np.where(same, above[1:], 0)
+    return here, text, size
 
 
 @dataclass
@@ -117,12 +153,70 @@ class Field:
 
 
 def marginals(field: Field, score: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """P(good) of each line; lines in order of text.  Recursions run over all texts at once, line by line."""
-    return _forward_backward(field, score, text)[0]
-
+    """P(good) of each line; lines in order of text.
 
-def _forward_backward(field: Field, score: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Line marginals, and the sum of the marginals of neighbouring label pairs."""
+    The recursions of ordinary texts run side by side, line by line; those of a text
+    of many lines run over its segments (:func:`segmented`).
+    """
+    begin = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(text)))
+    out = np.zeros(len(score))
+    rest = np.ones(len(score), bool)
+    for i in np.flatnonzero(size > MANY_LINES).tolist():
+        at = slice(begin[i], begin[i] + size[i])
+        out[at] = segmented(field, score[at])
+        rest[at] = False
+    out[rest] = _forward_backward(field, score[rest], text[rest])[0]
+    return out
+
+
+def _swept(first: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Row vectors before each step of a product of 2 x 2 matrices, each scaled to add up to one.
+
+    The steps are cut into segments: products of all segments are made side by side,
+    then the vectors at their begins by the same function, then those inside.
+    """
+    n = len(steps)
+    wide = int(n**0.5) + 1
+    if n <= 64:
+        out = np.zeros((n, 2))
+        v = first
+        for t in range(n):
+            out[t] = v
+            v = v @ steps[t]
+            v = v / v.sum()
+        return out
+    segments = -(-n // wide)
+    padded = np.concatenate([steps, np.broadcast_to(np.eye(2), (segments * wide - n, 2, 2))]).reshape(segments, wide, 2, 2)
+    whole = np.broadcast_to(np.eye(2), (segments, 2, 2))
+    for t in range(wide):
+        whole = whole @ padded[:, t]
+        whole = whole / whole.sum((1, 2), keepdims=True)
+    out = np.zeros((segments, wide, 2))
+    v = _swept(first, whole)
+    for t in range(wide):
+        out[:, t] = v
+        v = (v[:, None, :] @ padded[:, t])[:, 0]
+        v = v / v.sum(1, keepdims=True)
+    return out.reshape(-1, 2)[:n]
+
+
+def segmented(field: Field, score: np.ndarray) -> np.ndarray:
+    """P(good) of the lines of one text."""
+    emit = np.stack([np.exp(-np.maximum(score, 0)), np.exp(np.minimum(score, 0))], 1)
+    turn = np.exp(field.transition - field.transition.max())
+    even = np.full(2, 0.5)
+    # forward: before line t's own emission; backward: after it
+    ahead = np.matmul(emit[:-1, :, None] * np.eye(2), turn[None])
+    forward = np.concatenate([even[None], _swept(even, np.concatenate([ahead, np.eye(2)[None]]))[1:]])
+    behind = np.matmul(emit[1:, :, None] * np.eye(2), turn.T[None])[::-1]
+    backward = np.concatenate([even[None], _swept(even, np.concatenate([behind, np.eye(2)[None]]))[1:]])[::-1]
+    p = forward * emit * backward
+    return p[:, 1] / p.sum(1)
+
+
+def _forward_backward(field: Field, score: np.ndarray, text: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Line marginals, and the sum of the marginals of neighbouring label pairs, weighted by their first lines."""
     pairs = np.zeros((2, 2))
     if not len(score):
         return np.zeros(0), pairs
@@ -149,25 +243,28 @@ def _forward_backward(field: Field, score: np.ndarray, text: np.ndarray) -> tupl
     inner = np.flatnonzero(text[1:] == text[:-1])
     if len(inner):
         p = forward[inner][:, :, None] + tr[None] + (unary + backward)[inner + 1][:, None, :] - total[inner][:, None, None]
-        pairs = np.exp(p).sum(0)
+        pairs = np.exp(p).sum(0) if weight is None else np.einsum("iab,i->ab", np.exp(p), weight[inner])
     return np.exp(both[:, 1] - total), pairs
 
 
 def fit(features: np.ndarray, text: np.ndarray, good: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> Field:
-    """Maximises the conditional likelihood of line labels ``good`` per line by Adam steps; each class weighs alike."""
+    """Maximises the penalised conditional likelihood of line labels ``good`` by Adam steps.
+
+    All lines of a text have one label; texts are weighted so that each class weighs alike.
+    """
     field = Field(np.zeros(features.shape[1]), np.zeros((2, 2)))
     if not len(good) or good.all() or not good.any():
         return field
     same = text[1:] == text[:-1]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (good[:-1][same].astype(int), good[1:][same].astype(int)), 1)
     weight = np.where(good, 0.5 / good.mean(), 0.5 / (1 - good.mean()))
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (good[:-1][same].astype(int), good[1:][same].astype(int)), weight[:-1][same])
     n, theta = len(good), np.zeros(features.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     x = features.astype(np.float64)
     for k in range(1, rounds + 1):
         field = Field(theta[:-4], theta[-4:].reshape(2, 2))
-        p, pairs = _forward_backward(field, x @ field.emission, text)
+        p, pairs = _forward_backward(field, x @ field.emission, text, weight)
         gradient = np.concatenate([x.T @ ((good - p) * weight) / n, (seen - pairs).ravel() / n]) - penalty * theta
         m = 0.9 * m + 0.1 * gradient
         v = 0.99 * v + 0.01 * gradient**2
@@ -176,8 +273,8 @@ def fit(features: np.ndarray, text: np.ndarray, good: np.ndarray, rounds: int =
 
 
 def document_scores(field: Field, c: Chunk) -> np.ndarray:
-    features, text, size = line_features(c)
-    p = marginals(field, features @ field.emission.astype(np.float32), text)
+    score, text, size = line_scores(field.emission, c)
+    p = marginals(field, score, text)
     n = c.hi - c.lo
     weight = size.astype(np.float64)
     blank = np.bincount(text, weight, n) == 0
@@ -196,9 +293,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, exclude=None, id_col: str =
             for c in chunks(b.column(2)):
                 x, text, _ = line_features(c)
                 begin = np.searchsorted(text, np.arange(c.hi - c.lo))
-                keep = np.arange(len(text)) - begin[text] < SAMPLE_LINES
+                no = np.arange(len(text)) - begin[text]
+                runs, most = -(-np.bincount(text, minlength=c.hi - c.lo)[text] // RUN_LINES), SAMPLE_LINES // RUN_LINES
+                run = no // RUN_LINES
+                keep = (runs <= most) | (run * most // runs != (run - 1) * most // runs)  # runs spread evenly
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(c.lo + text[keep])), pa.array(label[c.lo + text[keep]], pa.int32()), pa.array((np.arange(len(text)) - begin[text])[keep], pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x[keep].ravel()), WIDTH).cast(pa.list_(pa.float32()))],
+                    [b.column(0).take(pa.array(c.lo + text[keep])), pa.array(label[c.lo + text[keep]], pa.int32()), pa.array(no[keep], pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x[keep].ravel()), WIDTH).cast(pa.list_(pa.float32()))],
                     names=["id", "label", "line", "x"],
                 )
 
@@ -207,7 +307,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, exclude=None, id_col: str =
     if not got.num_rows:
         return Field(np.zeros(WIDTH), np.zeros((2, 2)))
     x = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
-    text = np.cumsum(got["line"].to_numpy() == 0)
+    line = got["line"].to_numpy()
+    text = np.cumsum(np.diff(line, prepend=-2) != 1)  # a run of lines is a chain
     return fit(x, text, got["label"].to_numpy() == 1)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from depweave.llm import chat, components, decontaminate, packing, quality_crf, repetition, simhash, suffix_tree, toxicity, warc
+from depweave.llm import chat, components, decontaminate, packing, quality_crf, repetition, simhash, suffix_tree, textbytes, toxicity, warc
 from depweave.llm.textbytes import chunks
 
 from . import brute
@@ -491,3 +491,69 @@ def test_pack_places_everything_once(spark):
     packed = packing.pack(unique, capacity=32)
     made = packing.sequences(unique, packed, capacity=32).collect()
     assert sum(len(x["ids"]) for x in made) == sum(x["length"] for x in packed.collect())
+
+
+def test_many_lines_are_scored_as_in_one_sweep():
+    r = np.random.default_rng(17)
+    field = quality_crf.Field(r.normal(size=quality_crf.WIDTH), r.normal(size=(2, 2)) * 2)
+    for n in (2, 63, 65, 300, 5000):
+        score = r.normal(size=n) * 6
+        assert np.allclose(quality_crf.segmented(field, score), quality_crf._forward_backward(field, score, np.zeros(n, int))[0])
+
+
+def test_document_score_is_the_sum_over_all_labellings():
+    import itertools
+
+    r = np.random.default_rng(18)
+    field = quality_crf.Field(r.normal(size=quality_crf.WIDTH), r.normal(size=(2, 2)))
+    texts_ = ["Good line here.\nbad | line\n\nx", "one", "", "a b c\nd e f!"]
+    (c,) = textbytes.chunk_of(texts_)
+    features, text, size = quality_crf.line_features(c)
+    got = quality_crf.document_scores(field, c)
+    for i in range(len(texts_)):
+        e = features[text == i].astype(float) @ field.emission
+        weight = size[text == i] if size[text == i].sum() else np.ones(len(e))
+        total, good = 0.0, np.zeros(len(e))
+        for y in itertools.product((0, 1), repeat=len(e)):
+            p = np.exp(sum(v * k for v, k in zip(e, y, strict=True)) + sum(field.transition[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total += p
+            good += p * np.array(y)
+        assert abs(got[i] - (weight * good / total).sum() / weight.sum()) < 1e-5
+
+
+def test_a_million_line_breaks_are_scored_fast():
+    import time
+
+    field = quality_crf.Field(np.ones(quality_crf.WIDTH), np.eye(2))
+    began = time.perf_counter()
+    for c in textbytes.chunk_of(["\n" * 1_000_000, "x y\n" * 200_000]):
+        assert ((0 <= (p := quality_crf.document_scores(field, c))) & (p <= 1)).all()
+    assert time.perf_counter() - began < 20
+
+
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t
+
+
+def test_words_that_collide_in_polynomial_hashes_are_told_apart(spark):
+    a = thue_morse(4096)
+    b = a.translate(str.maketrans("ab", "ba"))
+    text = "\n".join([a, b, f"{a} {a} {b}", f"{b} {b} {a}"])
+    got = repetition.repetition_stats(docs_of(spark, [(1, text)])).first()
+    assert got["n_dup_lines"] == 0 and got["words_in_3"] == 0
+    bench = spark.createDataFrame([("i", f"{a} x y")], "item_id string, text string")
+    hits = decontaminate.overlaps(docs_of(spark, [(1, f"{b} x y"), (2, f"z {a} x y")]), bench).orderBy("doc_id").collect()
+    assert [h["n_hit"] for h in hits] == [0, 3]
+
+
+def test_repetitive_texts_and_items():
+    import pyarrow as pa
+
+    block = decontaminate.build_block(["x", "y", "z"], ["a " * 60, "b " + "a " * 12 + "c d", "a b " * 20])
+    (c,) = textbytes.chunks(pa.array(["a " * 30_000 + "c d", "a b " * 15 + "a a", "q"]), 2_000_000)
+    h = decontaminate.scan(c, block)
+    longest = {t: int(h.matches[h.matches[:, 0] == t, 1].max()) for t in (0, 1)}
+    assert longest == {0: 60, 1: 31} and {tuple(x) for x in h.items.tolist()} == {(0, 0), (0, 1), (1, 2)}
