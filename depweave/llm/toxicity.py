@@ -4,14 +4,15 @@ Features of a text are its lower-cased words and their beginnings of 4 to 8
 bytes, counted as log(1 + occurrences), and the logarithm of its length.  On a
 bounded sample of labelled texts the features that differ most between the
 classes are chosen (by the likelihood-ratio statistic) and weighed by penalised
-logistic regression.  The counterfactual term: for every labelled sentence of the
-sample that mentions a group, the mention is swapped for each other term of its
-list, and the squared change of the score is penalised; every term also counts as
-one neutral sentence of its own, so that terms the sample lacks are held together
-too.  Mentioning a group, whichever, then cannot make a text toxic by itself.
+logistic regression.  The counterfactual term: every sentence of the sample that
+mentions a group is written again with the mention swapped for each other term of its
+list, both are read like texts, and the squared difference of their scores is penalised.
+The bare term counts as one more sentence, so that terms the sample lacks are held
+together too.  Mentioning a group, whichever, then cannot make a text toxic by itself.
+Lists of terms are an argument; those that come along are in four languages.
 
-Only texts enter the score.  Scoring is one pass without a shuffle with a model of
-at most ``FEATURES`` weights.
+Only texts enter the score.  Scoring is one pass without a shuffle; the model has a
+weight for each feature whose classes differ by ``LEAST_GAIN`` in the bounded sample.
 
 Defined results: a null or empty text scores as a text of no words; repeated rows
 get a row each.  Without labelled rows of both classes every score is 0.5.
@@ -19,6 +20,7 @@ get a row each.  Without labelled rows of both classes every score is 0.5.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,15 +34,16 @@ from pyspark.sql import types as T
 from .labelled import in_fold, labelled_sample
 from .textbytes import ALNUM_LOWER, Chunk, bounded_batches, chunks, mix
 
-#: Bounds: documents per class in the sample, and weights of the model.
+#: Bound: documents per class in the sample.
 SAMPLE_PER_CLASS = 3000
-FEATURES = 6000
+#: Least likelihood-ratio statistic of a feature.
+LEAST_GAIN = 4.0
 PREFIXES = (4, 5, 6, 7, 8)
 PENALTY = 2e-4
 COUNTERFACTUAL = 0.05
 ROUNDS = 250
 
-#: Terms that may be swapped for each other, by list.
+#: Terms that may be swapped for each other, by list (fixed values).
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "transgender"),
     ("woman", "man", "girl", "boy"),
@@ -52,6 +55,15 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "migrants", "foreigners", "natives"),
     ("old", "young", "elderly", "teenage"),
     ("disabled", "deaf", "blind", "autistic"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    ("ausländer", "flüchtlinge", "einwanderer", "deutsche", "türken", "araber"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("étrangers", "réfugiés", "immigrés", "français", "arabes", "africains"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("extranjeros", "refugiados", "inmigrantes", "españoles", "árabes", "africanos"),
 )
 
 
@@ -97,31 +109,35 @@ def _lower(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.cast(pa.large_string()))
 
 
-def _term_features(terms: list[str], features: np.ndarray, filter_: np.ndarray) -> np.ndarray:
-    """A row per term: which of the model's features it has."""
-    out = np.zeros((len(terms), len(features)), np.float64)
-    for c in chunks(pa.array(terms, pa.string())):
-        text, slot, n, _ = found(c, features, filter_)
-        out[c.lo + text, slot] = n
-    return out
-
-
-def _mentions(texts: list[str], terms: list[str]) -> np.ndarray:
-    """How many sentences mention each term."""
-    import re
-
-    seen = np.zeros(len(terms))
-    number = {t: i for i, t in enumerate(terms)}
-    pattern = re.compile(r"\b(?:" + "|".join(map(re.escape, terms)) + r")\b")
-    for text in texts:
-        for sentence in re.split(r"[.!?\n]+", text):
-            for t in set(pattern.findall(sentence)):
-                seen[number[t]] += 1
-    return seen
-
-
-def fit(text: np.ndarray, slot: np.ndarray, count: np.ndarray, words: np.ndarray, label: np.ndarray, swaps: np.ndarray, n_features: int) -> tuple[np.ndarray, float, float]:
-    """Weights, bias, length weight.  ``swaps``: a row per swap of one term for another, its change of features by the root of its weight."""
+def swapped_sentences(text: str, lists) -> Iterator[tuple[str, str]]:
+    """(sentence, the same with one mention swapped) for every mention of a term and every other term of its list; ``text`` in lower case."""
+    other = {t: [x for x in group if x != t] for group in lists for t in group}
+    if not other:
+        return
+    mention = re.compile(r"\b(?:" + "|".join(re.escape(t) for t in sorted(other, key=len, reverse=True)) + r")\b")
+    for sentence in re.split(r"[.!?\n]+", text):
+        for m in mention.finditer(sentence):
+            for t in other[m[0]]:
+                yield sentence, sentence[: m.start()] + t + sentence[m.end() :]
+
+
+def changes(pairs: list[tuple[str, str]], features: np.ndarray, filter_: np.ndarray) -> Iterator[tuple[list[int], list[float]]]:
+    """(feature numbers, changes of their values) from a sentence to its swapped form, where the model sees one."""
+    for lo in range(0, len(pairs), 2000):
+        part = pairs[lo : lo + 2000]
+        values: list[dict[int, float]] = [{} for _ in part]
+        for side, sign in ((0, -1.0), (1, 1.0)):
+            for c in chunks(pa.array([p[side] for p in part], pa.string())):
+                text, slot, n, _ = found(c, features, filter_)
+                for t, f, v in zip((c.lo + text).tolist(), slot.tolist(), np.log1p(n).tolist(), strict=True):
+                    values[t][f] = values[t].get(f, 0.0) + sign * v
+        for x in values:
+            if changed := {f: round(v, 9) for f, v in sorted(x.items()) if abs(v) > 1e-9}:
+                yield list(changed), list(changed.values())
+
+
+def fit(text: np.ndarray, slot: np.ndarray, count: np.ndarray, words: np.ndarray, label: np.ndarray, swaps: np.ndarray, n_features: int, counterfactual: float = COUNTERFACTUAL) -> tuple[np.ndarray, float, float]:
+    """Weights, bias, length weight.  ``swaps``: a row per change of features from a sentence to its swapped form, by the root of its weight."""
     x, length = np.log1p(count.astype(np.float64)), np.log1p(words.astype(np.float64))
     n = len(label)
     weight = np.where(label == 1, 0.5 / max(label.mean(), 1e-9), 0.5 / max(1 - label.mean(), 1e-9))
@@ -131,14 +147,14 @@ def fit(text: np.ndarray, slot: np.ndarray, count: np.ndarray, words: np.ndarray
         z = np.bincount(text, x * theta[slot], n) + theta[-2] + theta[-1] * length
         e = (label - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) * weight / n
         change = swaps @ theta[:-2] if len(swaps) else np.zeros(0)
-        g = np.concatenate([np.bincount(slot, x * e[text], n_features) - PENALTY * theta[:-2] - COUNTERFACTUAL * (swaps.T @ change if len(swaps) else 0), [e.sum(), (e * length).sum()]])
+        g = np.concatenate([np.bincount(slot, x * e[text], n_features) - PENALTY * theta[:-2] - counterfactual * (swaps.T @ change if len(swaps) else 0), [e.sum(), (e * length).sum()]])
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g**2
         theta = theta + 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
     return theta[:-2], float(theta[-2]), float(theta[-1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, exclude=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, identity_terms=IDENTITY_TERMS) -> Toxicity:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, exclude=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, identity_terms=IDENTITY_TERMS, counterfactual: float = COUNTERFACTUAL) -> Toxicity:
     """Fits on at most ``per_class`` labelled documents of each class."""
     bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, per_class, exclude, id_col, text_col, "toxicity-sample").select(id_col, "label", "text")
@@ -163,10 +179,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, exclude=None, id_col: str =
 
     rate = (F.col("a") + F.col("b")) / F.lit(float(n1 + n0))
     gain = term(F.col("a"), float(n1), rate) + term(n1 - F.col("a"), float(n1), 1 - rate) + term(F.col("b"), float(n0), rate) + term(n0 - F.col("b"), float(n0), 1 - rate)
-    top = counts.where((F.col("a") < n1) | (F.col("b") < n0)).select("h", gain.alias("gain")).where("gain > 4").orderBy(F.desc("gain"), "h").limit(FEATURES).toArrow()
+    top = counts.where((F.col("a") < n1) | (F.col("b") < n0)).select("h", gain.alias("gain")).where(F.col("gain") > LEAST_GAIN).toArrow()  # of a bounded sample
     features = np.sort(top["h"].to_numpy().view(np.uint64))
     bare = Toxicity(features, np.zeros(len(features)), 0.0, 0.0)
-    terms = [t for group in identity_terms for t in group]
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,23 +192,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, exclude=None, id_col: str =
                 text, slot, n, words = found(c, bare.features, bare.filter)
                 begin = np.searchsorted(text, np.arange(c.hi - c.lo + 1))
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(x, pa.int64()))  # noqa: B023, E731
-                mention = [_mentions([t.as_py()], terms).tolist() for t in low[c.lo : c.hi]]
-                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], b.column(1)[c.lo : c.hi], pa.array(words, pa.int64()), lists(slot), lists(n), pa.array(mention, pa.list_(pa.float64()))], names=["id", "label", "words", "slot", "n", "mentions"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], b.column(1)[c.lo : c.hi], pa.array(words, pa.int64()), lists(slot), lists(n)], names=["id", "label", "words", "slot", "n"])
+
+    def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in _lower(b.column(2)):
+                found_ = list(changes(list(swapped_sentences(x.as_py() or "", identity_terms)), bare.features, bare.filter))
+                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found_], pa.list_(pa.int64())), pa.array([v for _, v in found_], pa.list_(pa.float64()))], names=["slots", "by"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("label", T.IntegerType()), T.StructField("words", T.LongType()), T.StructField("slot", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.LongType())), T.StructField("mentions", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("label", T.IntegerType()), T.StructField("words", T.LongType()), T.StructField("slot", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.LongType()))])
     got = sample.mapInArrow(chosen, schema).toArrow().sort_by("id")
     flat = lambda x: got[x].combine_chunks().flatten().to_numpy()
     text = np.repeat(np.arange(got.num_rows), pc.list_value_length(got["slot"]).to_numpy())
-    mention = flat("mentions").reshape(got.num_rows, len(terms)).sum(0) + 1
-    has = _term_features(terms, bare.features, bare.filter)
-    swaps, at = [], 0
-    for group in identity_terms:
-        for i in range(at, at + len(group)):
-            for j in range(at, at + len(group)):
-                if i != j and (has[i] != has[j]).any():
-                    swaps.append((has[j] - has[i]) * np.sqrt(mention[i]))
-        at += len(group)
-    w, bias, length = fit(text, flat("slot"), flat("n"), got["words"].to_numpy(), got["label"].to_numpy(), np.array(swaps).reshape(-1, len(features)), len(features))
+    # equal changes count together: as many rows as there are pairs of terms, and of counts in a sentence
+    change = sample.mapInArrow(swapped, "slots array<long>, by array<double>").groupBy("slots", "by").count().toArrow()
+    terms = [(t, x) for group in identity_terms for t in group for x in group if x != t]
+    rows = [*zip(change["slots"].to_pylist(), change["by"].to_pylist(), change["count"].to_pylist(), strict=True), *((f, v, 1) for f, v in changes(terms, bare.features, bare.filter))]
+    swaps = np.zeros((len(rows), len(features)))
+    for i, (f, v, n) in enumerate(sorted(rows)):
+        swaps[i, f] = np.array(v) * np.sqrt(n)
+    w, bias, length = fit(text, flat("slot"), flat("n"), got["words"].to_numpy(), got["label"].to_numpy(), swaps, len(features), counterfactual)
     return Toxicity(features, w, bias, length)
 
 

@@ -557,3 +557,52 @@ def test_repetitive_texts_and_items():
     h = decontaminate.scan(c, block)
     longest = {t: int(h.matches[h.matches[:, 0] == t, 1].max()) for t in (0, 1)}
     assert longest == {0: 60, 1: 31} and {tuple(x) for x in h.items.tolist()} == {(0, 0), (0, 1), (1, 2)}
+
+
+def test_swapped_sentences_and_their_changes():
+    lists = (("women", "men"), ("old", "young", "elderly"))
+    got = list(toxicity.swapped_sentences("the women are old. nothing here", lists))
+    assert got == [("the women are old", "the men are old"), ("the women are old", "the women are young"), ("the women are old", "the women are elderly")]
+    (c,) = textbytes.chunk_of(["women men"])
+    features = np.sort(np.concatenate([h for _, h, _ in toxicity.word_features(c)]))
+    model = toxicity.Toxicity(features, np.zeros(len(features)), 0.0, 0.0)
+    (change,) = toxicity.changes(got[:1], model.features, model.filter)
+    assert sorted(change[1]) == [-round(float(np.log(2)), 9)] * 2 + [round(float(np.log(2)), 9)]  # women and wome go, men comes
+
+
+def test_toxicity_gradient_is_that_of_the_penalised_loss():
+    r = np.random.default_rng(19)
+    text, slot, count = np.repeat(np.arange(30), 4), r.integers(0, 5, 120), r.integers(1, 4, 120)
+    words, label, swaps = r.integers(4, 40, 30), (r.random(30) < 0.4).astype(int), r.normal(size=(3, 5))
+    w, bias, length = toxicity.fit(text, slot, count, words, label, swaps, 5, 0.7)
+
+    def loss(theta):
+        z = np.bincount(text, np.log1p(count) * theta[slot], 30) + theta[-2] + theta[-1] * np.log1p(words)
+        weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
+        return -(weight * (label * z - np.logaddexp(0, z))).mean() + toxicity.PENALTY / 2 * (theta[:-2] ** 2).sum() + 0.35 * ((swaps @ theta[:-2]) ** 2).sum()
+
+    best = np.array([*w, bias, length])
+    for i in range(7):
+        for step in (-0.05, 0.05):
+            moved = best.copy()
+            moved[i] += step
+            assert loss(moved) > loss(best) - 1e-4
+
+
+def test_neutral_mentions_are_not_toxic_with_the_counterfactual_term(spark):
+    r = random.Random(20)
+    calm = lambda: " ".join(r.choice(["house", "river", "walk", "green", "paper", "music"]) for _ in range(8))
+    rows, labels = [], []
+    for i in range(240):
+        toxic = i % 2
+        group = "muslims" if toxic and i % 3 else r.choice(["christians", "buddhists"]) if r.random() < 0.2 else ""
+        text = f"{calm()}. {group} {calm()}" + (" idiot scum" if toxic and r.random() < 0.7 else "")
+        rows.append((i, text))
+        labels.append((i, 0, toxic))
+    docs, marks = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    neutral = docs_of(spark, [(i, f"{calm()}. muslims {calm()}") for i in range(60)])
+    rate = {}
+    for strength in (0.0, 5.0):
+        model = toxicity.fit_toxicity(docs, marks, counterfactual=strength)
+        rate[strength] = toxicity.score(neutral, model).where("score >= 0.5").count() / 60
+    assert rate[0.0] > 0.9 and rate[5.0] < 0.2, rate
