@@ -67,8 +67,8 @@ def with_prefix_sums(turns: DataFrame, tokens=default_tokens, conv_col: str = "c
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=default_tokens, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per window: conv_id, window (its order), n_tokens, formatted, loss."""
     summed = with_prefix_sums(turns, tokens, conv_col, turn_col, role_col, text_col)
-    opening = materialise(summed.where((F.col("before") == 0) & (F.col("role") == "system")).select(F.col("conv").alias("c0"), F.col("text").alias("system"), F.col("tokens").alias("system_tokens")), "chat-system")
-    room = F.greatest(F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0)), F.lit(budget // 4))
+    opening = materialise(summed.where((F.col("before") == 0) & (F.col("role") == "system") & (F.col("tokens") <= budget - history - budget // 4)).select(F.col("conv").alias("c0"), F.col("text").alias("system"), F.col("tokens").alias("system_tokens")), "chat-system")
+    room = F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0))
     cell = F.expr("room * 3 div 4")
     t = summed.join(opening, F.col("conv").eqNullSafe(F.col("c0")), "left").drop("c0").withColumn("room", room).withColumn("cell", cell)
     end_cell = F.expr("(before + tokens - 1) div cell")

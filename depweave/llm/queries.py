@@ -98,8 +98,8 @@ WITH raw AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
   SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
 p AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn, 4 + CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM raw),
 s AS (SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM p),
-sys AS (SELECT conv_id, tokens AS st, text AS system FROM s WHERE before = 0 AND role = 'system'),
-r AS (SELECT s.*, st, greatest(1024 - 192 - coalesce(st, 0), 256) AS room FROM s LEFT JOIN sys USING (conv_id)),
+sys AS (SELECT conv_id, tokens AS st, text AS system FROM s WHERE before = 0 AND role = 'system' AND tokens <= 1024 - 192 - 256),
+r AS (SELECT s.*, st, 1024 - 192 - coalesce(st, 0) AS room FROM s LEFT JOIN sys USING (conv_id)),
 c AS (SELECT *, room * 3 // 4 AS cell FROM r),
 w AS (SELECT *, ((before + tokens - 1) // cell) * 2 + CASE WHEN (before + tokens - 1) // cell > before // cell AND tokens > room - cell THEN 0 ELSE 1 END AS win FROM c),
 st AS (SELECT conv_id, win, min(before) AS start FROM w GROUP BY ALL HAVING min(before) > 0),

@@ -20,6 +20,12 @@ has over 65 fingerprints.
 
 Texts with equal fingerprints are one node throughout, so copies cost nothing.
 
+Two bits of 64 are near copies in the strictest sense: texts of a Jaccard similarity of
+0.8 differ in about ten, which no selective key bears.  :func:`drop_near_duplicates` can
+therefore add links by similarity: of each text's sorted different shingle hashes the
+first ``SKETCH`` make small blocks, every three neighbours one, SimHashed by majority;
+texts that share a block are compared by their whole sets of shingles.
+
 Defined results: null or empty texts have fingerprint zero and link like any
 other; rows with the same id each get a row; a null id takes part, and its
 component is the least id that is not null (null if there is none).
@@ -38,6 +44,7 @@ from pyspark.sql import types as T
 
 from depweave.session import materialise
 
+from .blocks import block_pairs, longer_side
 from .components import connected_components
 from .textbytes import bounded_batches
 
@@ -45,6 +52,8 @@ SHINGLE = 3
 SEED = 42
 MOST_BITS = 2
 BUCKET = 16
+#: Shingles of a text, the first by hash, that make its blocks.
+SKETCH = 24
 #: Widths of the segments from the top bit down, and how far each is shifted right.
 SEGMENTS = ((22, 42), (21, 21), (21, 0))
 
@@ -109,12 +118,9 @@ def golay_keys(fingerprints: np.ndarray, several: bool) -> tuple[np.ndarray, np.
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """The fingerprint of one text: words without white space, ASCII lower-cased, in shingles."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    h = shingle_hashes(text, size)
+    if not len(h):
         return 0
-    shingles = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, max(1, len(words) - size + 1))
     votes = np.zeros(64, np.int64)
     for lo in range(0, len(h), 1 << 16):
         votes += np.unpackbits(h[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -164,10 +170,62 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def _grouped(marked: DataFrame, id_col: str, bucket: int) -> DataFrame:
-    """(fp, root, component_id) for fingerprinted rows: the group of each fingerprint and the least id in it."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, max(1, len(words) - size + 1))
+
+
+def block_fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """SimHashes of every three neighbours among the first ``SKETCH`` sorted different hashes; of one or two, one block."""
+    h = np.unique(hashes)[:SKETCH]
+    if len(h) < 3:
+        return np.array([h.sum(dtype=np.uint64)]) if len(h) else h
+    a, b, c = h[:-2], h[1:-1], h[2:]
+    return (a & b) | (c & (a | b))
+
+
+def similar_links(docs: DataFrame, text_col: str, size: int, similarity: float, bucket: int) -> DataFrame:
+    """(a, b) of fingerprints whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``.
+
+    ``docs`` has one text per fingerprint in columns ``fp`` and ``text_col``.  The
+    candidates share the SimHash of a block of shingles (:mod:`.blocks`).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [shingle_hashes(x.as_py(), size) for x in b.column(1)]
+            keys = [block_fingerprints(h).view(np.int64) for h in hashes]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(np.unique(h)) for h in hashes], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["item", "size", "keys"])
+
+    texts = docs.select("fp", F.col(text_col).cast("string").alias("text"))
+    blocks = materialise(texts.mapInArrow(run, "item long, size long, keys array<long>"), "near-blocks")
+    members = blocks.select("item", "size", F.explode("keys").alias("key"))
+    pairs = materialise(block_pairs(members, longer_side(similarity), bucket, "near").distinct(), "near-pairs")
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    texts = materialise(texts.join(wanted, "fp"), "near-texts")
+    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.unique(shingle_hashes(x.as_py(), size)), np.unique(shingle_hashes(y.as_py(), size))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return materialise(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "near-links")
+
+
+def _grouped(marked: DataFrame, id_col: str, bucket: int, more: DataFrame | None = None) -> DataFrame:
+    """(fp, root, component_id) for fingerprinted rows: the group of each fingerprint and the least id in it; ``more``: further links."""
     classes = materialise(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprint-classes")
-    roots = connected_components(links(classes, bucket), "simhash")
+    near = links(classes, bucket)
+    roots = connected_components(near if more is None else near.unionByName(more), "simhash")
     rooted = materialise(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return materialise(rooted.join(ids, "root").select("fp", "root", "component_id"), "fingerprint-components")
@@ -179,15 +237,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(_grouped(marked, id_col, bucket), "fp").select(id_col, "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bucket: int = BUCKET, similarity: float | None = None) -> DataFrame:
     """One row of each group of near duplicates, all columns: that with the least id.
 
-    Rows without an id come last; of rows that tie, the one with the least hash of
-    id and text stays, and of rows equal in both any one.
+    Links are those of the fingerprints and, with a ``similarity``, also those of
+    :func:`similar_links`.  Rows without an id come last; of rows that tie, the one with
+    the least hash of id and text stays, and of rows equal in both any one.
     """
-    row = F.xxhash64(docs[id_col], docs[text_col].cast("string")).alias("__row")
-    marked = materialise(fingerprints(docs.select(docs[id_col], docs[text_col], row), text_col, (id_col, "__row"), size), "fingerprints")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")))
-    stay = marked.join(_grouped(marked, id_col, bucket), "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("__row"))
+    slim = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    row = F.xxhash64("id", "text")
+    marked = materialise(fingerprints(slim.withColumn("row", row), "text", ("id", "row"), size), "fingerprints")
+    more = None
+    if similarity is not None:
+        rows = materialise(marked.groupBy("fp").agg(F.min("row").alias("row")), "near-rows")
+        texts = slim.withColumn("row", row).join(rows, "row").dropDuplicates(["fp"])
+        more = similar_links(texts, "text", size, similarity, bucket)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    stay = marked.join(_grouped(marked, "id", bucket, more), "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("kept"))
     stay = materialise(stay, "near-kept")
-    return docs.withColumn("__row", row).join(stay, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("doc"), F.xxhash64(docs[id_col], docs[text_col].cast("string")).alias("row"))
+    return whole.join(stay, whole["row"] == stay["kept"], "left_semi").dropDuplicates(["row"]).select("doc.*")

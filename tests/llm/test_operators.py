@@ -606,3 +606,43 @@ def test_neutral_mentions_are_not_toxic_with_the_counterfactual_term(spark):
         model = toxicity.fit_toxicity(docs, marks, counterfactual=strength)
         rate[strength] = toxicity.score(neutral, model).where("score >= 0.5").count() / 60
     assert rate[0.0] > 0.9 and rate[5.0] < 0.2, rate
+
+
+def test_similar_documents_are_dropped_and_others_stay(spark):
+    r = random.Random(21)
+    vocab = [f"w{i}" for i in range(300)]
+    rows, want = [], set()
+    for i in range(60):
+        w = [r.choice(vocab) for _ in range(r.randint(60, 400))]
+        rows.append((10 * i, " ".join(w)))
+        want.add(10 * i)
+        for k in range(3):
+            v = w[:]
+            for _ in range(len(v) // 60):  # each replaced word changes five shingles of either text
+                v[r.randrange(len(v))] = "new" + str(r.randrange(9))
+            rows.append((10 * i + 1 + k, " ".join(v)))
+    rows += [(1000, None), (1001, ""), (1002, "a b"), (1003, "A  b")]
+    sets = brute.Sets()
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := brute.words(brute.ascii_lower(t or ""))) else set() for i, t in rows}
+    for i in shingles:
+        for j in shingles:
+            if i < j and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                sets.join(i, j)
+        sets.find(i)
+    exact = {sets.find(i) for i in shingles}
+    df = docs_of(spark, rows).withColumn("row", F.lit("x"))  # a name that the operator uses inside
+    for bucket in (16, 1):
+        kept = simhash.drop_near_duplicates(df, size=5, similarity=0.8, bucket=bucket)
+        assert kept.columns == df.columns
+        got = {x["doc_id"] for x in kept.collect()}
+        assert exact <= got and len(got - exact) <= 0.02 * len(rows), bucket
+
+
+def test_windows_keep_to_the_budget(spark):
+    turns = [(1, 0, "system", "s" * 8000)] + [(1, i, "user" if i % 2 else "assistant", "t" * 400) for i in range(1, 40)]
+    turns += [(2, 0, "system", "s" * 1000)] + [(2, i, "user" if i % 2 else "assistant", "t" * 400) for i in range(1, 40)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    w = chat.windows(df).cache()
+    over = w.where("n_tokens > 1024").collect()
+    assert [x["conv_id"] for x in over] == [1] and "<repeat" not in over[0]["formatted"]
+    assert w.where("conv_id = 2 and window > 1").where("formatted not like '<repeat system>%'").count() <= 1
