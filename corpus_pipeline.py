@@ -3,6 +3,12 @@
 quality classifier -> line dedup -> SimHash near-dedup -> benchmark
 decontamination -> best-fit packing.  Every stage is written as Parquet and read
 again, so a lost executor never costs more than its own stage.
+
+Defined results: a null or empty text is scored as one blank line, passes line dedup
+as it is, and all such documents are near copies of each other, so one may stay; it is
+packed as an end token.  Rows equal in id and text pass as one after near-dedup.  A
+null id is a document.  Further columns of ``documents``, whatever their names, are
+kept up to packing.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +36,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the least id."""
-    return simhash.drop_near_duplicates(docs)
+    """Keeps one document of each group, the one with the least id; links are five-word shingle sets of similarity 0.8 or more."""
+    return simhash.drop_near_duplicates(docs, size=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
