@@ -500,7 +500,10 @@ def l8_node_class(g: TestGraph) -> DataFrame:
 # ---- without an SQL counterpart ----------------------------------------------------
 
 
-@query()
+@query(sql("""
+SELECT graph_id, p AS path, p || '::' || part AS qualified_name, split_part(part, '.', -1) AS name, kind, CAST(first AS INT) AS start_line, 6 AS end_line
+FROM (SELECT DISTINCT graph_id, path || '.' || name || '.py' AS p, name FROM functions), LATERAL (SELECT unnest(['C', 'C.' || name]) AS part, unnest(['class', 'method']) AS kind, unnest([4, 5]) AS first)
+"""))
 def x1_extract_python(g: TestGraph) -> DataFrame:
     """Every function becomes a small Python source, which is parsed back into functions, imports and calls."""
     from depweave import extract
@@ -554,11 +557,16 @@ def v11_first_of(g: TestGraph) -> DataFrame:
     return cluster.first_of(g.edges, ["graph_id", "src"], [F.length("dst"), "dst"])
 
 
-@query(sql("SELECT graph_id, src, dst FROM edges UNION SELECT graph_id, dst, src FROM edges"))
+@query(sql("""
+SELECT graph_id, src, dst FROM edges UNION
+SELECT graph_id, dst, src FROM edges WHERE (graph_id, dst) IN (SELECT (graph_id, node) FROM live) AND (graph_id, src) IN (SELECT (graph_id, node) FROM live)
+"""))
 def w3_edge_upsert(g: TestGraph) -> DataFrame:
+    """All edges come again the other way round; those of which an end is not among the live nodes are not written."""
     from depweave import store
 
-    return store.add_edges(g.edges, g.edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    turned = g.edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return store.add_edges(g.edges, turned, src=g.live, dst=g.live)
 
 
 @query(sql("SELECT DISTINCT graph_id, replace(graph_id, '/', '__') AS directory FROM parts"))
@@ -571,3 +579,127 @@ def r6_path_normalisation(g: TestGraph) -> DataFrame:
     p = F.col("path")
     up = P.joined(P.dirname(p), F.when(F.size(F.split(p, "/")) > 2, "../y/../x").otherwise("x"))
     return g.parts.select("graph_id", "path", F.length(P.dirname(p)).alias("n"), up.alias("joined"))
+
+
+# ---- reading sources -----------------------------------------------------------------
+
+#: Per language: a source with N for a function's name, and what it declares (dotted name, kind, lines), imports and calls (caller, callee, receiver, class).
+_SOURCES = {
+    "x2_read_python": ("py", "py", "import os\nfrom ..N.base import Root as R\n\nclass User:\n    def go(self):\n        pass\n\nclass C(R):\n    def N(self, u: User):\n        self.check(u)\n        u.go()\n        return N_free()\n    def check(self, u):\n        def inner():\n            deep()\n\ndef N_free():\n    user = User()\n    user.go()\n", [
+        ("User", "class", 4, 6), ("User.go", "method", 5, 6), ("C", "class", 8, 15), ("C.N", "method", 9, 12), ("C.check", "method", 13, 15), ("C.check.inner", "method", 14, 15), ("N_free", "function", 17, 19),
+    ], [("os", ""), ("..N.base", "Root")], [
+        ("C.N", "check", "self", "C"), ("C.N", "go", "User", "C"), ("C.N", "N_free", "", "C"), ("C.check.inner", "deep", "", "C"), ("N_free", "User", "", ""), ("N_free", "go", "User", ""),
+    ]),
+    "x5_read_typescript": ("ts", "ts", "import { N } from \"./lib/N.js\";\nimport \"./side\";\nexport class Box {\n  open(a) { return N(a); }\n}\nconst run = async (x: number): Promise<void> => {\n  const again = () => { deeper(`t ${inText(x)}`); };\n  start(x);\n};\nfunction N_end() { return /a(b/.test(s) && stop(new Box()); }\n", [
+        ("Box", "class", 3, 5), ("open", "method", 4, 4), ("run", "function", 6, 9), ("again", "function", 7, 7), ("N_end", "function", 10, 10),
+    ], [("./lib/N.js", "N"), ("./side", "")], [
+        ("open", "N", "", ""), ("again", "deeper", "", ""), ("again", "inText", "", ""), ("run", "start", "", ""), ("N_end", "test", "", ""), ("N_end", "stop", "", ""),
+    ]),
+    "x7_read_java": ("java", "java", "package a.b;\nimport a.c.N;\nimport static a.d.Load.sum;\nimport a.e.*;\npublic class Crane {\n    Crane(int n) { check(n); }\n    @Override\n    public Map<String, Integer> N(int k) throws Wet {\n        // drop(1)\n        return k.weigh(\"sum()\", new Hook(k));\n    }\n}\ninterface Signal { void N_wave(); }\n", [
+        ("Crane", "class", 5, 12), ("N", "method", 7, 11), ("Signal", "class", 13, 13), ("N_wave", "method", 13, 13),
+    ], [("a.c.N", "N"), ("a.d.Load.sum", "sum"), ("a.e.*", "")], [("Crane", "check", "", ""), ("N", "weigh", "", "")]),
+    "x8_read_kotlin": ("kotlin", "kt", "package a.b\nimport a.c.N\nimport a.d.Galley as Kitchen\nimport a.e.*\ndata class Sailor(val deck: Deck) {\n    fun N(part: String): Int {\n        return deck.scrub(part).filter { it.wet() }\n    }\n}\nobject Roster\nfun N_bell(): Int = ring(8)\n", [
+        ("Sailor", "class", 5, 9), ("N", "function", 6, 8), ("Roster", "class", 10, 10), ("N_bell", "function", 11, 11),
+    ], [("a.c.N", "N"), ("a.d.Galley", "Galley"), ("a.e.*", "")], [("N", "scrub", "", ""), ("N", "filter", "", ""), ("N", "wet", "", ""), ("N_bell", "ring", "", "")]),
+}
+
+
+def _parsed(g: TestGraph, name: str) -> DataFrame:
+    """Every function's name put into the language's source, in a file of its own, and read."""
+    from depweave import extract
+
+    language, ending, source, *_ = _SOURCES[name]
+    files = g.functions.select("graph_id", "path", "name").distinct()
+    content = F.replace(F.lit(source), F.lit("N"), F.col("name")).cast("binary")
+    return extract.extracted(files.select("graph_id", F.concat("path", F.lit("."), "name", F.lit(f".{ending}")).alias("path"), F.lit(language).alias("language"), content.alias("content")))
+
+
+def _facts(g: TestGraph, name: str) -> DataFrame:
+    """All that was read, as rows (graph_id, path, fact, name, detail, first, last)."""
+    from depweave import extract
+
+    parsed = _parsed(g, name)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    none = F.lit(0)
+    f = extract.functions_of(parsed).select("graph_id", "path", F.lit("declares").alias("fact"), F.substring_index("qualified_name", "::", -1).alias("name"), F.col("kind").alias("detail"), F.col("start_line").alias("first"), F.col("end_line").alias("last"))
+    i = extract.imports_of(parsed).select("graph_id", F.col("src").alias("path"), F.lit("imports").alias("fact"), F.col("module").alias("name"), F.col("symbol").alias("detail"), none.alias("first"), none.alias("last"))
+    calls = extract.calls_of(parsed).distinct()
+    c = calls.select("graph_id", "path", F.lit("calls").alias("fact"), F.substring_index("caller", "::", -1).alias("name"), F.concat_ws("|", "callee", text("receiver"), text("caller_class")).alias("detail"), none.alias("first"), none.alias("last"))
+    return f.unionByName(i).unionByName(c)
+
+
+def _facts_sql(name: str) -> str:
+    language, ending, _, functions, imports, calls = _SOURCES[name]
+    rows = [("declares", *f) for f in functions] + [("imports", m, s, 0, 0) for m, s in imports] + [("calls", caller, f"{callee}|{receiver}|{cls}", 0, 0) for caller, callee, receiver, cls in calls]
+    values = ", ".join(f"('{fact}', '{n}', '{d}', {a}, {b})" for fact, n, d, a, b in rows)
+    put = lambda c: f"replace({c}, 'N', f.name)"
+    return sql(f"SELECT graph_id, f.path || '.' || f.name || '.{ending}' AS path, fact, {put('v.name')} AS name, {put('detail')} AS detail, a AS first, b AS last FROM (SELECT DISTINCT graph_id, path, name FROM functions) f, (VALUES {values}) v(fact, name, detail, a, b)")
+
+
+@query(_facts_sql("x2_read_python"))
+def x2_read_python(g: TestGraph) -> DataFrame:
+    return _facts(g, "x2_read_python")
+
+
+@query(_facts_sql("x5_read_typescript"))
+def x5_read_typescript(g: TestGraph) -> DataFrame:
+    return _facts(g, "x5_read_typescript")
+
+
+@query(_facts_sql("x7_read_java"))
+def x7_read_java(g: TestGraph) -> DataFrame:
+    return _facts(g, "x7_read_java")
+
+
+@query(_facts_sql("x8_read_kotlin"))
+def x8_read_kotlin(g: TestGraph) -> DataFrame:
+    return _facts(g, "x8_read_kotlin")
+
+
+@query(sql("""
+SELECT graph_id, f.path || '.' || f.name || '.py' AS path, caller, callee, CASE WHEN tier = 2 THEN (SELECT min(x.path || '.' || x.name || '.py') FROM functions x WHERE x.graph_id = f.graph_id) || '::User.go' WHEN tier > 0 THEN f.path || '.' || f.name || '.py::' || replace(target, 'N', f.name) END AS qualified_name, nullif(tier, 0) AS tier
+FROM (SELECT DISTINCT graph_id, path, name FROM functions) f, (VALUES ('check', 'C.check', 1), ('go', '', 2), ('N_free', 'N_free', 3), ('deep', '', 0), ('User', 'User', 3)) v(what, target, tier),
+LATERAL (SELECT replace(what, 'N', f.name) AS callee), LATERAL (SELECT unnest(CASE what WHEN 'go' THEN ['C.' || f.name, f.name || '_free'] WHEN 'deep' THEN ['C.check.inner'] WHEN 'User' THEN [f.name || '_free'] ELSE ['C.' || f.name] END) AS caller)
+"""))
+def r9_receiver_binding(g: TestGraph) -> DataFrame:
+    """Calls read from Python sources: through self, through a receiver's class, in the file, and unbound."""
+    from depweave import extract
+
+    parsed = _parsed(g, "x2_read_python")
+    bound = resolve.bind_calls(extract.calls_of(parsed), extract.functions_of(parsed))
+    return bound.select("graph_id", "path", F.substring_index("caller", "::", -1).alias("caller"), "callee", "qualified_name", "tier")
+
+
+_STEM = r"regexp_replace({}, '\.[a-z]+$', '')"
+
+
+@query(sql(f"""
+SELECT i.graph_id, i.src, i.module, min(k.path) AS path
+FROM (SELECT DISTINCT graph_id, src, way, CASE way WHEN 0 THEN replace(stem, '/', '.') WHEN 1 THEN replace(substr(stem, position('/' IN stem) + 1), '/', '.') ELSE '..' || split_part(stem, '/', 2) || '.' || split_part(stem, '/', 3) END AS module,
+   CASE way WHEN 0 THEN stem WHEN 1 THEN '/' || substr(stem, position('/' IN stem) + 1) ELSE split_part(src, '/', 1) || '/' || split_part(stem, '/', 2) || '/' || split_part(stem, '/', 3) END || '.py' AS goal
+  FROM (SELECT graph_id, src, {_STEM.format('dst')} AS stem FROM edges), (VALUES (0), (1), (2)) w(way)) i
+LEFT JOIN (SELECT DISTINCT graph_id, {_STEM.format('path')} || '.py' AS path FROM parts) k ON k.graph_id = i.graph_id AND CASE WHEN way = 1 THEN ends_with('/' || k.path, i.goal) AND k.path <> substr(i.goal, 2) ELSE k.path = i.goal END
+GROUP BY ALL
+"""))
+def r1_python_imports(g: TestGraph) -> DataFrame:
+    """Each import as an absolute module, as one without its top directory (found by suffix), and as a relative one two levels up; all files taken as Python."""
+    stem = F.regexp_replace("dst", r"\.[a-z]+$", "")
+    dotted = lambda c: F.replace(c, F.lit("/"), F.lit("."))
+    part = lambda i: F.split_part(stem, F.lit("/"), F.lit(i))
+    modules = F.array(dotted(stem), dotted(F.regexp_replace(stem, "^[^/]*/", "")), F.concat(F.lit(".."), part(2), F.lit("."), part(3)))
+    rows = g.edges.select("graph_id", "src", F.lit("py").alias("language"), F.explode(modules).alias("module"))
+    files = g.parts.select("graph_id", F.concat(F.regexp_replace("path", r"\.[a-z]+$", ""), F.lit(".py")).alias("path"))
+    return resolve.resolve_imports(rows, files).select("graph_id", "src", "module", "path")
+
+
+@query(sql("""
+SELECT i.graph_id, i.src, i.module, coalesce(min(p.path) FILTER (WHERE p.path LIKE '%.kt'), min(p.path)) AS path
+FROM (SELECT DISTINCT graph_id, src, replace(split_part(substr(dst, position('/' IN dst) + 1), '.', 1), '/', '.') AS module FROM edges) i
+LEFT JOIN parts p ON p.graph_id = i.graph_id AND (p.path LIKE '%.java' OR p.path LIKE '%.kt') AND ends_with(p.path, '/' || replace(i.module, '.', '/') || '.' || split_part(p.path, '.', -1))
+GROUP BY ALL
+"""))
+def r4_kotlin_imports(g: TestGraph) -> DataFrame:
+    """Dotted imports of each target without its top directory: Kotlin files first, then Java's."""
+    body = F.split_part(F.expr("substring(dst, instr(dst, '/') + 1)"), F.lit("."), F.lit(1))
+    rows = g.edges.select("graph_id", "src", F.lit("kotlin").alias("language"), F.replace(body, F.lit("/"), F.lit(".")).alias("module"))
+    return resolve.resolve_imports(rows, g.parts).select("graph_id", "src", "module", "path")
