@@ -8,12 +8,14 @@ written by Spark's text writer with the record separator as line separator: file
 appear in the output folder by its commit protocol, so a lost or repeated task
 leaves no half archive, and any file system that Spark can write will do.
 
-Reading: archives are read whole, one by one (``ARCHIVE_BYTES`` each on average),
-and parsed by Content-Length, so payloads may hold anything.  Each archive yields
+Reading: archives are read whole, one by one (``ARCHIVE_BYTES`` each on average, a
+gigabyte at most by ``SIZE_CLASSES``), and parsed by Content-Length, so payloads may
+hold anything.  Each archive yields
 one run of index entries, sorted by URL key and time.
 
-Merging: the runs are dealt into ranges of (URL key, time, id) and merged in each
-range with a loser tree, k runs at a time.  The output, range after range, is
+Merging: the runs are dealt into ranges of (URL key, time, id), about
+``RANGE_ENTRIES`` entries each however long the index is, and merged in each range
+with a loser tree, k runs at a time.  The output, range after range, is
 ordered globally: each URL's captures stand together in order of time.
 
 Defined results: a null payload is empty; a null URL has no target header and
@@ -37,6 +39,10 @@ from depweave.session import materialise, shared_dir
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 16_000_000
+#: (bytes, records): payloads up to that size go to archives of so many records at most, so that none exceeds a gigabyte; larger ones stand alone.
+SIZE_CLASSES = ((256_000, 4_000), (16_000_000, 60))
+#: Index entries that a range has on average; a range is merged in one task's memory.
+RANGE_ENTRIES = 100_000
 #: Rows up to which the table of repeated payloads is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -78,11 +84,19 @@ def record(id_: Column, url: Column, captured: Column, payload: Column, size: Co
 
 def write_archives(captures: DataFrame, path: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Writes captures (id, url, captured, payload) as WARC files into a new folder and returns it."""
-    path = path or f"{shared_dir(captures.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(captures.sparkSession)}/tables/warc-{uuid.uuid4().hex}"
     c = with_revisits(captures)
-    mean = captures.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
-    records = c.select(record(*(F.col(x) for x in ("id", "url", "captured", "payload", "size", "digest", "response", "refers_to"))).alias("value"))
-    records.write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", max(1, int(archive_bytes / (mean + 500)))).text(path)
+    bytes_ = F.octet_length("payload")
+    mean, largest = captures.agg(F.coalesce(F.avg(bytes_), F.lit(0.0)), F.coalesce(F.max(bytes_), F.lit(0))).first()
+    wanted = max(1, int(archive_bytes / (mean + 500)))
+    above = -1
+    for upto, most in (*SIZE_CLASSES, (None, 1)):
+        if above >= largest:
+            break  # most tables have no large pages and are written in one pass
+        sized = c.where(F.col("size") > above) if upto is None else c.where(F.col("size").between(above + 1, upto))
+        records = sized.select(record(*(F.col(x) for x in ("id", "url", "captured", "payload", "size", "digest", "response", "refers_to"))).alias("value"))
+        records.write.mode("append").option("lineSep", _CRLF * 2).option("maxRecordsPerFile", min(wanted, most)).text(path)
+        above = upto
     return path
 
 
@@ -210,7 +224,9 @@ class LoserTree:
 
 def merge_runs(runs: DataFrame) -> DataFrame:
     """All entries in global order; adds ``range`` and ``position``, by which they can be read in order."""
-    dealt = runs.repartitionByRange("url_key", "captured", "id").withColumn("range", F.spark_partition_id())
+    ranges = max(runs.sparkSession.sparkContext.defaultParallelism, runs.count() // RANGE_ENTRIES + 1)
+    dealt = runs.repartitionByRange(ranges, "url_key", "captured", "id").withColumn("range", F.spark_partition_id())
+    dealt = dealt.sortWithinPartitions("archive", "seq")  # each run whole and in its own order again
     schema = T.StructType([*ENTRY, T.StructField("range", T.IntegerType()), T.StructField("position", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +234,8 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         for b in batches:
             for e in b.to_pylist():
                 by_archive.setdefault(e["archive"], []).append(e)
-        parts = [sorted(x, key=lambda e: e["seq"]) for x in by_archive.values()]  # a run's blocks may arrive in any order
         out, position = [], 0
-        for e in LoserTree(parts, sort_key):
+        for e in LoserTree(list(by_archive.values()), sort_key):
             e["position"] = position
             position += 1
             out.append(e)

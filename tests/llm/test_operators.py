@@ -92,6 +92,22 @@ def test_warc_round_trip(spark):
     assert warc.merge_runs(warc.capture_runs(spark, empty)).count() == 0
 
 
+def test_large_pages_in_a_row_make_small_archives(spark, monkeypatch):
+    """Archives are bounded by bytes also where pages are far above the mean; ranges by entries."""
+    monkeypatch.setattr(warc, "SIZE_CLASSES", ((10_000, 50), (100_000, 4)))
+    monkeypatch.setattr(warc, "RANGE_ENTRIES", 40)
+    size = F.when(F.col("id") < 300, F.lit(40_000)).when(F.col("id") < 303, F.lit(200_000)).otherwise(F.lit(10))
+    df = spark.range(3000).withColumns({"url": F.concat(F.lit("http://a/"), F.col("id") % 7), "captured": F.timestamp_seconds(F.col("id")), "payload": F.concat(F.col("id").cast("string"), F.expr("repeat('x', 10)"))})
+    df = df.withColumn("payload", F.rpad("payload", size, "y")).repartitionByRange(2, "id")
+    path = warc.write_archives(df)
+    sizes = [r["length"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("length").collect()]
+    assert max(sizes) < 220_000 and sum(s > 150_000 for s in sizes) >= 75
+    out = warc.merge_runs(warc.capture_runs(spark, path)).orderBy("range", "position").collect()
+    assert [x["id"] for x in out] == sorted(range(3000), key=lambda i: (i % 7, i))
+    assert {x["id"]: x["payload_bytes"] for x in out} == {i: 40_000 if i < 300 else 200_000 if i < 303 else 10 for i in range(3000)}
+    assert len({x["range"] for x in out}) > 40
+
+
 # ---- 3 -----------------------------------------------------------------------------
 
 
