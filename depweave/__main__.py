@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import shutil
+from dataclasses import asdict
 
 from depweave.functions.paths import sanitise_url, slug_of
 from depweave.plans.workspace import Workspace
@@ -48,8 +49,8 @@ def main(arguments: list[str] | None = None) -> int:
         graph_id, root = slug_of(a.url), clone.local_path(a.url, a.repos)
         branch = clone.clone_or_fetch(a.url, root, a.branch, a.depth, a.force, a.token, a.token_host)
         log = gitlog.last_commits(gitlog.read_last_commit_log(spark, str(root), graph_id))
-        store.ingest(graph_id, graph_id, sanitise_url(a.url), branch, tree.scan_clone(spark, root, graph_id), log)
-        out = work.repo_info(graph_id)
+        did = store.ingest(graph_id, graph_id, sanitise_url(a.url), branch, tree.scan_clone(spark, root, graph_id), log)
+        out = work.repo_info(graph_id) | {"ingest": asdict(did)}
     elif a.command == "ls":
         out = work.list_repos()
     elif a.command == "findings":

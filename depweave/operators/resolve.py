@@ -67,12 +67,12 @@ def candidates(module: Column, src: Column, language: Column) -> Column:
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(graph_id, src, module) with language -> adds path, null where unresolved; distinct.
+    """(graph_id, src, module) with language -> adds path, null where unresolved, and n: how often it occurs; distinct.
 
     ``files`` (graph_id, path) are the known paths.  Of several files with the same
     suffix the lexicographically least is taken.
     """
-    wanted = imports.select("graph_id", "src", "language", "module").distinct()
+    wanted = imports.groupBy("graph_id", "src", "language", "module").agg(F.count("*").alias("n"))
     tried = wanted.select("graph_id", "src", "language", "module", F.inline(candidates(F.col("module"), F.col("src"), F.col("language")))).where(F.col("key").isNotNull())
     known = files.select("graph_id", "path").distinct()
     whole = known.select("graph_id", F.lit("path").alias("kind"), F.col("path").alias("key"), "path")
@@ -83,12 +83,15 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Edges (graph_id, src, dst_kind, dst): resolved imports go to files, all others to symbols."""
-    resolved = resolve_imports(imports, files)
+    return edges_of(resolve_imports(imports, files))
+
+
+def edges_of(resolved: DataFrame) -> DataFrame:
     return resolved.select("graph_id", "src", F.when(F.col("path").isNotNull(), "file").otherwise("symbol").alias("dst_kind"), F.coalesce("path", "module").alias("dst")).distinct()
 
 
 def bind_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """Calls (graph_id, path, caller, callee, receiver, caller_class) -> adds qualified_name and tier, null where unbound.
+    """Calls (graph_id, path, caller, callee, receiver, caller_class) -> adds qualified_name and tier, null where unbound, and n: how often it occurs.
 
     Tiers: 1 a method of the enclosing class through self; 2 the receiver's class;
     3 the same file; 4 the lexicographically first of the repository.
@@ -98,7 +101,7 @@ def bind_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     anywhere = named.groupBy("graph_id", "callee").agg(F.min("qualified_name").alias("q4"))
     in_file = named.groupBy("graph_id", "path", "callee").agg(F.min("qualified_name").alias("q3"))
     by_part = named.groupBy("graph_id", "part").agg(F.min("qualified_name").alias("q2"))
-    c = calls.select("graph_id", "path", "caller", "callee", "receiver", "caller_class").where("callee <> ''").distinct()
+    c = calls.where("callee <> ''").groupBy("graph_id", "path", "caller", "callee", "receiver", "caller_class").agg(F.count("*").alias("n"))
     own = F.concat("caller_class", F.lit("."), "callee")
     selfish = c.where("receiver = 'self' and caller_class is not null")
     q1 = selfish.join(named.select("graph_id", "path", "callee", "part", "qualified_name"), ["graph_id", "path", "callee"]).where(F.startswith("part", own)).groupBy("graph_id", "path", "caller", "callee", "caller_class").agg(F.min("qualified_name").alias("q1"))
@@ -106,7 +109,7 @@ def bind_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     c = c.withColumn("part", F.when(F.col("receiver") != "self", F.concat("receiver", F.lit("."), "callee"))).join(by_part, ["graph_id", "part"], "left")
     c = c.join(in_file, ["graph_id", "path", "callee"], "left").join(anywhere, ["graph_id", "callee"], "left")
     tier = F.when(F.col("q1").isNotNull(), 1).when(F.col("q2").isNotNull(), 2).when(F.col("q3").isNotNull(), 3).when(F.col("q4").isNotNull(), 4)
-    return c.select("graph_id", "path", "caller", "callee", "receiver", "caller_class", F.coalesce("q1", "q2", "q3", "q4").alias("qualified_name"), tier.alias("tier"))
+    return c.select("graph_id", "path", "caller", "callee", "receiver", "caller_class", F.coalesce("q1", "q2", "q3", "q4").alias("qualified_name"), tier.alias("tier"), "n")
 
 
 def call_edges(bound: DataFrame, functions: DataFrame) -> DataFrame:

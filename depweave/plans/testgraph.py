@@ -14,12 +14,12 @@ LANGUAGES = (("py", "py"), ("ts", "ts"), ("js", "js"), ("java", "java"), ("kt",
 
 
 class TestGraph:
-    """Lazy tables of the model; ``one`` puts all files into a single repository."""
+    """Lazy tables of the model; ``one`` puts all files into a single repository, ``python`` makes all of them live Python files."""
 
     __test__ = False
 
-    def __init__(self, spark: SparkSession, sf_dir: str, one: bool = False):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, sf_dir: str, one: bool = False, python: bool = False):
+        self.spark, self._python = spark, python
         self._t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
         self._graph = F.lit("example.com/all") if one else F.concat(F.lit("example.com/"), F.lower("p_type"))
         self._made: dict[str, DataFrame] = {}
@@ -34,8 +34,11 @@ class TestGraph:
         n = F.pmod("p_partkey", F.lit(6))
         ext = F.element_at(F.array(*[F.lit(e) for e, _ in LANGUAGES]), (n + 1).cast("int"))
         language = F.element_at(F.array(*[F.lit(x) for _, x in LANGUAGES]), (n + 1).cast("int"))
+        deleted = F.pmod("p_partkey", F.lit(29)) == 0
+        if self._python:
+            ext, language, deleted = F.lit("py"), F.lit("py"), F.lit(False)
         path = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("/")), F.lit("_"), F.col("p_partkey").cast("string"), F.lit("."), ext)
-        return self._once("parts", lambda: self._t("part").select(F.col("p_partkey").alias("pk"), self._graph.alias("graph_id"), path.alias("path"), language.alias("language"), (F.pmod("p_partkey", F.lit(29)) == 0).alias("deleted"), F.col("p_size").cast("int").alias("size")))
+        return self._once("parts", lambda: self._t("part").select(F.col("p_partkey").alias("pk"), self._graph.alias("graph_id"), path.alias("path"), language.alias("language"), deleted.alias("deleted"), F.col("p_size").cast("int").alias("size")))
 
     @property
     def files(self) -> DataFrame:
@@ -103,6 +106,19 @@ class TestGraph:
     def commit_files(self) -> DataFrame:
         return self._once("commit_files", lambda: self._t("lineitem").select(F.col("l_orderkey").alias("commit_seq"), F.col("l_partkey").alias("pk")).distinct().join(self.parts, "pk").select("graph_id", "commit_seq", "path"))
 
+    @property
+    def sources(self) -> DataFrame:
+        """(graph_id, path, language, content): Python files that import ``os`` and the files of ``edges``, and define ``functions`` that make ``raw_calls``."""
+        lines = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "")
+        module = F.replace(F.regexp_replace("dst", r"\.py$", ""), F.lit("/"), F.lit("."))
+        imports = self.edges.groupBy("graph_id", F.col("src").alias("path")).agg(lines(F.concat(F.lit("import "), module, F.lit("\n"))).alias("imports"))
+        calls = self.raw_calls.groupBy("graph_id", F.col("caller").alias("qualified_name")).agg(lines(F.concat(F.lit("    "), "callee", F.lit("()\n"))).alias("body"))
+        functions = self.functions.select("graph_id", "path", "qualified_name", "name").join(calls, ["graph_id", "qualified_name"], "left")
+        defined = functions.groupBy("graph_id", "path").agg(lines(F.concat(F.lit("\n\ndef "), "name", F.lit("():\n"), F.coalesce("body", F.lit("    pass\n")))).alias("functions"))
+        text = lambda c: F.coalesce(c, F.lit(""))
+        files = self.parts.select("graph_id", "path", "language").join(imports, ["graph_id", "path"], "left").join(defined, ["graph_id", "path"], "left")
+        return files.select("graph_id", "path", "language", F.concat(F.lit("import os\n"), text("imports"), text("functions")).cast("binary").alias("content"))
+
     def most_imported(self) -> DataFrame:
         """The seed of impact queries: each repository's file with the most importers, the least path of those."""
         n = self.edges.groupBy("graph_id", F.col("dst").alias("node")).agg(F.count("*").alias("n"))
@@ -126,7 +142,10 @@ seed AS (SELECT graph_id, node FROM (SELECT graph_id, dst AS node, row_number()
 """
 
 
-def sql(body: str, one: bool = False, more: str = "") -> str:
+def sql(body: str, one: bool = False, more: str = "", python: bool = False) -> str:
     """A query over the prelude's tables; ``more`` adds further ones."""
     graph = "'example.com/all'" if one else "'example.com/' || lower(p_type)"
-    return "WITH RECURSIVE " + PRELUDE.replace("{graph}", graph).strip() + (",\n" + more.strip() if more else "") + "\n" + body.strip()
+    prelude = PRELUDE.replace("{graph}", graph).strip()
+    if python:
+        prelude = prelude.replace("p_partkey % 29 = 0 AS deleted", "false AS deleted").replace("['py', 'ts', 'js', 'java', 'kt', 'tsx'][p_partkey % 6 + 1] AS path", "'py' AS path").replace("['py', 'ts', 'js', 'java', 'kotlin', 'tsx'][p_partkey % 6 + 1] AS language", "'py' AS language")
+    return "WITH RECURSIVE " + prelude + (",\n" + more.strip() if more else "") + "\n" + body.strip()

@@ -25,21 +25,26 @@ class Workspace:
     def __init__(self, store: Store, repos_dir: str | Path):
         self.store, self.repos_dir = store, Path(repos_dir)
         self.spark = store.spark
-        self._histories: dict[str, DataFrame] = {}
+        self._histories: dict[str, tuple[str | None, DataFrame]] = {}
 
     def _tables(self, graph_id: str) -> dict[str, DataFrame]:
         check_graph_id(graph_id)
-        return {k: v.where(F.col("graph_id") == graph_id) for k, v in self.store.tables().items()}
+        return self.store.tables(graph_id)
 
     def _seed(self, graph_id: str, path: str) -> DataFrame:
         return self.spark.range(1).select(F.lit(graph_id).alias("graph_id"), F.lit(clean_file_path(path)).alias("node"))
 
     def history(self, graph_id: str) -> DataFrame:
-        """Commit files of a graph's working copy, read once; empty without one."""
-        if graph_id not in self._histories:
+        """Commit files of a graph's working copy, read once for each publication of the graph; empty without a copy."""
+        publication = self.store.publications().get(graph_id)
+        known, commits = self._histories.get(graph_id, (None, None))
+        if commits is None or known != publication:
+            if commits is not None:
+                commits.unpersist()
             log = gitlog.read_history_log(self.spark, str(clone.local_path(graph_id, self.repos_dir)), graph_id)
-            self._histories[graph_id] = gitlog.commit_files(log).select("graph_id", "commit_seq", "path").cache()
-        return self._histories[graph_id]
+            commits = gitlog.commit_files(log).select("graph_id", "commit_seq", "path").cache()
+            self._histories[graph_id] = publication, commits
+        return commits
 
     # ---- tools ---------------------------------------------------------------------
 

@@ -15,11 +15,11 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(oracle: str | None = None, one: bool = False):
+def query(oracle: str | None = None, one: bool = False, python: bool = False):
     """Registers f(TestGraph) under its name."""
 
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(TestGraph(spark, sf_dir, one))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(TestGraph(spark, sf_dir, one, python))
         if oracle:
             ORACLE_SQL[f.__name__] = oracle
         return f
@@ -703,3 +703,91 @@ def r4_kotlin_imports(g: TestGraph) -> DataFrame:
     body = F.split_part(F.expr("substring(dst, instr(dst, '/') + 1)"), F.lit("."), F.lit(1))
     rows = g.edges.select("graph_id", "src", F.lit("kotlin").alias("language"), F.replace(body, F.lit("/"), F.lit(".")).alias("module"))
     return resolve.resolve_imports(rows, g.parts).select("graph_id", "src", "module", "path")
+
+
+# ---- ingests -------------------------------------------------------------------------
+
+INGEST_SQL = CALLS_SQL + """,
+names AS (SELECT graph_id, 'os' AS name FROM parts UNION SELECT graph_id, callee FROM called WHERE qualified_name IS NULL),
+n AS (SELECT * FROM (SELECT graph_id, count(*) AS files, count(*) FILTER (WHERE length(path) % 3 > 0) AS kept FROM parts GROUP BY ALL)
+  LEFT JOIN (SELECT graph_id, count(*) AS functions FROM functions GROUP BY ALL) USING (graph_id) LEFT JOIN (SELECT graph_id, count(*) AS imports FROM edges GROUP BY ALL) USING (graph_id)
+  LEFT JOIN (SELECT graph_id, count(*) AS calls FROM calls GROUP BY ALL) USING (graph_id) LEFT JOIN (SELECT graph_id, count(*) AS symbols FROM names GROUP BY ALL) USING (graph_id)),
+first_state AS (SELECT graph_id, files, 0 AS deleted, coalesce(functions, 0) AS functions, coalesce(imports, 0) + files AS imports, coalesce(calls, 0) AS calls, coalesce(symbols, 0) AS symbols, kept FROM n),
+second_state AS (SELECT graph_id, files, CASE WHEN graph_id = (SELECT min(graph_id) FROM n) THEN files - kept ELSE 0 END AS deleted, functions,
+  imports + CASE WHEN graph_id = (SELECT min(graph_id) FROM n) THEN kept ELSE 0 END AS imports, calls, symbols + CASE WHEN graph_id = (SELECT min(graph_id) FROM n) AND kept > 0 THEN 1 ELSE 0 END AS symbols FROM first_state)
+"""
+
+
+def _store_of(g: TestGraph):
+    """A new store in the shared folder, with all graphs ingested from their sources in one go; and what that ingest did."""
+    import uuid
+
+    from depweave.session import shared_dir
+    from depweave.store import Store
+
+    kept = Store(g.spark, f"{shared_dir(g.spark)}/tables/store-{uuid.uuid4().hex}")
+    commits = g.spark.createDataFrame([], "graph_id string, path string, author string, committed_at string, sha string")
+    return kept, commits, kept.ingest_all(g.repositories, g.sources, commits)
+
+
+def _again(g: TestGraph, kept, commits):
+    """The first graph comes again with two thirds of its files, which by now import ``sys`` and nothing else."""
+    first = g.parts.agg(F.min("graph_id")).first()[0]
+    left = g.parts.where((F.col("graph_id") == first) & (F.length("path") % 3 > 0))
+    return kept.ingest_all(g.repositories.where(F.col("graph_id") == first), left.select("graph_id", "path", "language", F.lit("import sys\n").cast("binary").alias("content")), commits)
+
+
+def _sizes(tables: dict[str, DataFrame], state: str) -> DataFrame:
+    """Rows of each table of each graph."""
+    counted = tables["files"].groupBy("graph_id").agg(F.count("*").alias("files"), F.count_if("deleted").alias("deleted"))
+    for name in ("functions", "imports", "calls", "symbols"):
+        counted = counted.join(tables[name].groupBy("graph_id").agg(F.count("*").alias(name)), "graph_id", "left")
+    return counted.na.fill(0).select(F.lit(state).alias("state"), "*")
+
+
+@query(sql("""
+SELECT 'ingested' AS state, graph_id, files, deleted, functions, imports, calls, symbols FROM first_state UNION ALL SELECT 'again', * FROM second_state
+UNION ALL SELECT 'wiped', * FROM second_state WHERE graph_id <> (SELECT max(graph_id) FROM n)
+""", more=INGEST_SQL, python=True), python=True)
+def w1_ingest(g: TestGraph) -> DataFrame:
+    """What readers see after an ingest of all graphs, after another one of the first graph, and after the last one is wiped."""
+    kept, commits, _ = _store_of(g)
+    states = [_sizes(kept.tables(), "ingested")]
+    _again(g, kept, commits)
+    states.append(_sizes(kept.tables(), "again"))
+    kept.wipe(g.parts.agg(F.max("graph_id")).first()[0])
+    return states[0].unionByName(states[1]).unionByName(_sizes(kept.tables(), "wiped"))
+
+
+@query(sql("SELECT * FROM found", more=_bfs(_BACK), python=True), python=True)
+def w1_sources_to_importers(g: TestGraph) -> DataFrame:
+    """From sources to an answer: read, resolved, published, and asked who imports the most imported files."""
+    t = _store_of(g)[0].tables()
+    return tools.imported_by(t["files"], t["imports"], g.most_imported(), 3)
+
+
+@query(sql("""
+SELECT 'ingested' AS state, (SELECT count(*) FROM parts) AS files, (SELECT count(*) FROM functions) AS functions, (SELECT count(*) FROM edges) + (SELECT count(*) FROM parts) AS imports, (SELECT count(*) FROM raw_calls) AS calls,
+  (SELECT count(*) FROM parts) + (SELECT count(*) FROM called WHERE qualified_name IS NULL) AS external_symbols, 0 AS pruned, (SELECT count(*) FROM calls) AS rows_calls
+UNION ALL SELECT 'again', f.kept, 0, f.kept, 0, f.kept, f.files - f.kept, f.calls FROM first_state f WHERE graph_id = (SELECT min(graph_id) FROM n)
+""", more=INGEST_SQL, python=True), python=True)
+def w6_summary(g: TestGraph) -> DataFrame:
+    """The counts that each of two ingests gives, taken while its tables are written."""
+    kept, commits, did = _store_of(g)
+    rows = [(state, s.files, s.functions, s.imports, s.calls, s.external_symbols, s.pruned, s.rows["calls"]) for state, s in (("ingested", did), ("again", _again(g, kept, commits)))]
+    return g.spark.createDataFrame(rows, "state string, files long, functions long, imports long, calls long, external_symbols long, pruned long, rows_calls long")
+
+
+@query(sql("""
+SELECT 'files' AS "table", graph_id, path AS key, 'twice' AS reason FROM parts WHERE length(path) % 5 = 0 AND length(path) % 7 > 0
+UNION ALL SELECT DISTINCT 'imports', graph_id, dst, 'dst is not in files' FROM edges WHERE dst IN (SELECT path FROM parts WHERE length(path) % 7 = 0)
+UNION ALL SELECT DISTINCT 'imports', graph_id, src, 'src is not in files' FROM edges WHERE src IN (SELECT path FROM parts WHERE length(path) % 7 = 0)
+UNION ALL SELECT DISTINCT 'defines', graph_id, path, 'path is not in files' FROM functions WHERE path IN (SELECT path FROM parts WHERE length(path) % 7 = 0)
+"""))
+def w8_keys(g: TestGraph) -> DataFrame:
+    """What the check before a publication finds where some files are missing and others come twice."""
+    from depweave.schema import violations
+
+    there = g.parts.where(F.length("path") % 7 > 0)
+    files = there.unionByName(there.where(F.length("path") % 5 == 0))
+    return violations({"files": files, "functions": g.functions, "defines": g.defines, "imports": g.imports.where("dst_kind = 'file'")})

@@ -37,7 +37,7 @@ def work(spark, tmp_path_factory):
 
 def test_tools(work):
     assert [r["graph_id"] for r in work.list_repos()] == [G]
-    work.store.mark("h.com/new", "running")
+    work.store.mark(["h.com/new"])
     assert [(r["graph_id"], r["ingest_status"]) for r in work.list_repos()] == [(G, "complete"), ("h.com/new", "running")]
     info = work.schema(G)["repository"]
     assert (info["files"], info["functions"], info["ingest_status"]) == (3, 2, "complete")
