@@ -484,11 +484,10 @@ def l6_crossings(g: TestGraph) -> DataFrame:
 
 @query(sql("SELECT c.graph_id, path, CAST(floor(greatest(0, least(1, commits * fan_in / max(commits * fan_in) OVER (PARTITION BY c.graph_id))) * 4 + 0.5) AS INT) AS step FROM churn c JOIN deg d ON d.graph_id = c.graph_id AND d.node = c.path", one=True, more=CHURN_SQL), one=True)
 def l7_risk_step(g: TestGraph) -> DataFrame:
-    from pyspark.sql import Window
-
     scored = history.churn(g.commit_files, _live_paths(g)).join(structure.degrees(g.live, structure.known_edges(g.live, g.edges)).withColumnRenamed("node", "path"), ["graph_id", "path"])
-    score = views.risk_score(F.col("commits"), F.col("fan_in"))
-    return scored.withColumn("score", score).select("graph_id", "path", views.risk_step(F.col("score"), F.max("score").over(Window.partitionBy("graph_id"))).alias("step"))
+    scored = scored.withColumn("score", views.risk_score(F.col("commits"), F.col("fan_in")))
+    most = scored.groupBy("graph_id").agg(F.max("score").alias("most"))
+    return scored.join(most, "graph_id").select("graph_id", "path", views.risk_step(F.col("score"), F.col("most")).alias("step"))
 
 
 @query(sql("SELECT graph_id, node, concat_ws(' ', 'file', CASE WHEN fan_in = 0 AND fan_out > 0 THEN 'entry' END, CASE WHEN in_cycle THEN 'cycle' END) AS class FROM layers", more=LAYER_SQL))
