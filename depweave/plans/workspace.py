@@ -68,7 +68,7 @@ class Workspace:
 
     def search(self, graph_id: str, query: str, kind: str = "any", limit: int = 20, offset: int = 0) -> dict:
         t = self._tables(graph_id)
-        hits, nxt = search.search_nodes(t["files"], t["functions"], graph_id, query, kind, limit, offset)
+        hits, nxt = search.search_nodes(t["files"], t["functions"], graph_id, query, kind, limit, offset, t)
         return {"hits": [r.asDict() for r in hits.orderBy(F.desc("score"), "name", "id").collect()], "next_offset": nxt}
 
     def node(self, graph_id: str, node_id: str) -> dict:

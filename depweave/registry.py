@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from depweave.functions import paths as P
 from depweave.operators import cluster, history, reach, resolve, search, structure
 from depweave.plans import tools, views
 from depweave.plans.testgraph import TestGraph, sql
+from depweave.session import shared_dir
 from depweave.sources import gitlog, slices
 
 QUERIES: dict = {}
@@ -134,6 +137,49 @@ def q9_ranked_search(g: TestGraph) -> DataFrame:
     return search.ranked(search.token_table(search.searchable(g.files, g.functions)), "S12 Blue brand")
 
 
+def _new_folder(g: TestGraph) -> str:
+    return f"{shared_dir(g.spark)}/tables/store-{uuid.uuid4().hex}"
+
+
+def _indexed(g: TestGraph) -> dict[str, DataFrame]:
+    """The graphs published into a store, which keeps the search index."""
+    from depweave.store import Store
+
+    kept = Store(g.spark, _new_folder(g))
+    graphs = [r["graph_id"] for r in g.repositories.select("graph_id").collect()]  # as many as graphs
+    kept.publish({"repositories": g.repositories, "files": g.files, "functions": g.functions}, kept.mark(graphs))
+    return kept.tables()
+
+
+INDEX_SQL = SEARCH_SQL + """,
+frequency AS (SELECT graph_id, token, count(DISTINCT (kind, id)) AS df FROM tokens GROUP BY ALL),
+hits AS (SELECT graph_id, id, name, qualified_name, path, kind, field, term, min(df) AS rarest FROM tokens JOIN frequency USING (graph_id, token), (VALUES ('s1'), ('blue'), ('ha')) v(term) WHERE starts_with(token, term) GROUP BY ALL)
+"""
+
+
+@query(sql("SELECT graph_id, id, name, qualified_name, path, kind, CAST(count(*) AS DOUBLE) AS score, min(rarest) AS rarest FROM hits GROUP BY ALL", more=INDEX_SQL))
+def q9_indexed_search(g: TestGraph) -> DataFrame:
+    """Ranked search in the stored index: only row groups that may hold a token with one of the beginnings are read."""
+    return search.ranked(_indexed(g)["tokens"], "S1 (blue) ha")
+
+
+@query(sql("SELECT graph_id, id, name, kind, CAST(count(*) AS DOUBLE) AS score FROM hits WHERE graph_id = (SELECT min(graph_id) FROM parts) GROUP BY ALL ORDER BY score DESC, name, id LIMIT 25 OFFSET 25", more=INDEX_SQL))
+def q9_search_page(g: TestGraph) -> DataFrame:
+    """The feature is the page: the second 25 hits in the first graph."""
+    first = g.parts.agg(F.min("graph_id")).first()[0]
+    t = _indexed(g)
+    return search.search_nodes(t["files"], t["functions"], first, "S1 (blue) ha", limit=25, offset=25, index=t)[0].select("graph_id", "id", "name", "kind", "score")
+
+
+@query(sql("""
+SELECT graph_id, qualified_name AS id, name, qualified_name, path, kind, 1.0::DOUBLE AS score FROM functions WHERE contains(lower(name), 'ed/b') OR contains(lower(qualified_name), 'ed/b')
+UNION ALL SELECT graph_id, path, path, NULL, path, 'file', 1.0 FROM parts WHERE NOT deleted AND contains(lower(path), 'ed/b')
+"""))
+def q10_indexed_substring(g: TestGraph) -> DataFrame:
+    t = _indexed(g)
+    return search.substring_indexed(t["trigrams"], t["files"], t["functions"], "ED/b")
+
+
 @query(sql("""
 SELECT graph_id, qualified_name AS id, name, qualified_name, path, kind, 1.0::DOUBLE AS score FROM functions WHERE contains(lower(name), 'ed/b') OR contains(lower(qualified_name), 'ed/b')
 UNION ALL SELECT graph_id, path, path, NULL, path, 'file', 1.0 FROM parts WHERE NOT deleted AND contains(lower(path), 'ed/b')
@@ -719,12 +765,9 @@ second_state AS (SELECT graph_id, files, CASE WHEN graph_id = (SELECT min(graph_
 
 def _store_of(g: TestGraph):
     """A new store in the shared folder, with all graphs ingested from their sources in one go; and what that ingest did."""
-    import uuid
-
-    from depweave.session import shared_dir
     from depweave.store import Store
 
-    kept = Store(g.spark, f"{shared_dir(g.spark)}/tables/store-{uuid.uuid4().hex}")
+    kept = Store(g.spark, _new_folder(g))
     commits = g.spark.createDataFrame([], "graph_id string, path string, author string, committed_at string, sha string")
     return kept, commits, kept.ingest_all(g.repositories, g.sources, commits)
 
