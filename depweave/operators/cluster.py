@@ -57,6 +57,26 @@ def clustered(nodes: DataFrame, edges: DataFrame, depth: int) -> tuple[DataFrame
     return folded, between.groupBy("graph_id", F.col("s").alias("src"), F.col("t").alias("dst")).agg(F.count("*").alias("weight"))
 
 
+def rolled_up(nodes: DataFrame, edges: DataFrame, deepest: int = 10) -> tuple[DataFrame, DataFrame]:
+    """:func:`clustered` at every depth from 1 to ``deepest`` at once: (nodes, edges), both with a depth.
+
+    The graph is folded once, to the deepest level.  A cluster's id says which cluster it belongs to at any lower
+    depth, so the other levels are sums of that one: each folded row goes to its prefixes, and one grouping by
+    (depth, cluster) or (depth, pair) adds the counts up.  What lies inside one cluster lies inside all those above it.
+    """
+    folded, between = clustered(nodes, edges, deepest)
+    depths = F.explode(F.sequence(F.lit(1), F.lit(deepest))).alias("depth")
+
+    def up(c: str) -> Column:
+        parts = F.split(F.regexp_replace(F.col(c), "^(dir|file):", ""), "/")
+        return F.when(~F.startswith(F.col(c), F.lit("sym:")) & (F.size(parts) > F.col("depth")), F.concat(F.lit("dir:"), F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))).otherwise(F.col(c))
+
+    n = folded.select("graph_id", "id", "kind", "file_count", depths).select("graph_id", "depth", up("id").alias("id"), "kind", "file_count")
+    n = n.withColumn("kind", F.when(F.startswith("id", F.lit("dir:")), "dir_cluster").otherwise(F.col("kind")))
+    e = between.select("graph_id", "src", "dst", "weight", depths).select("graph_id", "depth", up("src").alias("src"), up("dst").alias("dst"), "weight").where("src <> dst")
+    return n.groupBy("graph_id", "depth", "id", "kind").agg(F.sum("file_count").alias("file_count")), e.groupBy("graph_id", "depth", "src", "dst").agg(F.sum("weight").alias("weight"))
+
+
 def expanded(files: DataFrame, imports: DataFrame, prefix: str, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """One directory opened: files under it and edges among them, folded one level deeper."""
     prefix = prefix.strip("/")

@@ -19,6 +19,10 @@ from depweave.sources import clone, gitlog, slices
 from depweave.store import Store
 
 
+#: Rows of a list that are collected; the tables themselves have all.
+MOST = 10_000
+
+
 class Workspace:
     """``repos_dir`` holds the working copies that sources and histories are read from."""
 
@@ -104,17 +108,11 @@ class Workspace:
         n, e = [r.asDict() for r in nodes.orderBy("id").collect()], [r.asDict() for r in edges.orderBy("src", "dst").collect()]
         return {"nodes": n, "edges": e, "stats": {"nodes": len(n), "edges": len(e), "total_edges": len(e) if total is None else total, "truncated": truncated}}
 
-    def _measured(self, nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-        """Nodes with layer, fans and in_cycle; nodes of other kinds keep nulls."""
-        own = nodes.where(F.col("kind").isin(*kinds)).select("graph_id", F.col("id").alias("node"))
-        m = structure.metrics(own, edges.select("graph_id", "src", "dst")).drop("component").withColumnRenamed("node", "id")
-        return nodes.join(m, ["graph_id", "id"], "left")
-
     def full_graph(self, graph_id: str, max_edges: int = 10_000) -> dict:
         """All files and the first edges; measures are taken before edges are cut, churn comes along."""
         t = self._tables(graph_id)
         nodes, edges = cluster.graph_of(t["files"], t["imports"])
-        measured = self._measured(nodes, edges, ("file",)).join(self._churn(graph_id, t), ["graph_id", "path"], "left")
+        measured = views.annotated(nodes, edges, ("file",)).join(self._churn(graph_id, t), ["graph_id", "path"], "left")
         kept, few, stats = cluster.capped(measured, edges, max_edges)
         s = stats.first()
         return self._payload(graph_id, kept, few, s["total"] if s else 0, bool(s and s["truncated"]))
@@ -128,7 +126,7 @@ class Workspace:
         """The graph folded into directories; measures are taken of the folded graph."""
         t = self._tables(graph_id)
         nodes, edges = cluster.clustered(*cluster.graph_of(t["files"], t["imports"]), depth)
-        return self._payload(graph_id, self._measured(nodes, edges, ("file", "dir_cluster")), edges)
+        return self._payload(graph_id, views.annotated(nodes, edges), edges)
 
     def expand(self, graph_id: str, prefix: str) -> dict:
         t = self._tables(graph_id)
@@ -158,11 +156,12 @@ class Workspace:
         return {"rings": rings, "total": sum(len(r["paths"]) for r in rings), "callers": names(tools.callers(t["files"], t["defines"], t["calls"], seed, max_hops)), "calls": names(tools.callees(t["files"], t["defines"], t["calls"], seed, max_hops))}
 
     def findings(self, graph_id: str) -> dict:
+        """What is worth telling; lists that grow with the graph are cut to ``MOST`` rows (orphans to fewer)."""
         t = self._tables(graph_id)
         live = tools.live_nodes(t["files"])
         found = views.findings(live, tools.file_edges(t["imports"]), self.history(graph_id))
         order = {"hubs": ["rank"], "cycles": [F.desc("size"), "members"], "risk": ["rank"], "coupling": ["rank"], "entry_points": ["node"], "orphans": ["node"], "churn": ["path"]}
-        out = {k: [r.asDict() for r in found[k].orderBy(*by).collect()] for k, by in order.items()}
+        out = {k: [r.asDict() for r in found[k].orderBy(*by).limit(views.MAX_ORPHANS if k == "orphans" else MOST).collect()] for k, by in order.items()}
         deepest, available = found["max_layer"].first(), found["coupling_available"].first()
         return out | {"layers": (deepest["max_layer"] + 1) if deepest else 0, "coupling_available": bool(available and available["coupling_available"])}
 

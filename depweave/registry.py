@@ -750,6 +750,114 @@ def r4_kotlin_imports(g: TestGraph) -> DataFrame:
     return resolve.resolve_imports(rows, g.parts).select("graph_id", "src", "module", "path")
 
 
+# ---- all depths, all seeds, and what is shown of a graph -------------------------------
+
+DEPTH_SQL = VIEW_SQL + """,
+level AS (SELECT graph_id, depth, id, CASE WHEN kind = 'file' AND len(string_split(path, '/')) > depth THEN 'dir:' || array_to_string(string_split(path, '/')[1:depth], '/') ELSE id END AS cluster, kind FROM nodes, range(1, 11) r(depth)),
+levels AS (SELECT graph_id, CAST(depth AS INT) AS depth, cluster AS id, CASE WHEN starts_with(cluster, 'dir:') THEN 'dir_cluster' ELSE kind END AS kind, CASE WHEN kind <> 'symbol' THEN count(*) END AS file_count FROM level GROUP BY graph_id, depth, cluster, kind),
+weights AS (SELECT l.graph_id, CAST(a.depth AS INT) AS depth, a.cluster AS src, b.cluster AS dst, count(*) AS weight FROM links l JOIN level a ON a.graph_id = l.graph_id AND a.id = l.src JOIN level b ON b.graph_id = l.graph_id AND b.id = l.dst AND b.depth = a.depth WHERE a.cluster <> b.cluster GROUP BY ALL)
+"""
+
+
+@query(sql("SELECT * FROM levels", more=DEPTH_SQL))
+def v2_cluster_nodes_by_depth(g: TestGraph) -> DataFrame:
+    return cluster.rolled_up(*cluster.graph_of(g.files, g.imports))[0]
+
+
+@query(sql("SELECT * FROM weights", more=DEPTH_SQL))
+def v3_cluster_edges_by_depth(g: TestGraph) -> DataFrame:
+    return cluster.rolled_up(*cluster.graph_of(g.files, g.imports))[1]
+
+
+@query(sql("""
+SELECT l.graph_id, l.depth, l.id, file_count, coalesce(i, 0) AS fan_in, coalesce(o, 0) AS fan_out, least(70.0, 30.0 + 5.0 * sqrt(file_count)) AS radius FROM levels l
+LEFT JOIN (SELECT graph_id, depth, dst AS id, count(*) AS i FROM weights GROUP BY ALL) USING (graph_id, depth, id) LEFT JOIN (SELECT graph_id, depth, src AS id, count(*) AS o FROM weights GROUP BY ALL) USING (graph_id, depth, id) WHERE kind = 'dir_cluster'
+""", more=DEPTH_SQL))
+def v4_overview_by_depth(g: TestGraph) -> DataFrame:
+    """Directories of every depth with their degrees over rolled-up edges, and the radius they are drawn with."""
+    nodes, edges = cluster.rolled_up(*cluster.graph_of(g.files, g.imports))
+    at = lambda c: F.concat_ws(" ", "graph_id", F.col("depth").cast("string")).alias("graph_id") if c == "graph_id" else F.col(c)
+    d = structure.degrees(nodes.select(at("graph_id"), F.col("id").alias("node")), edges.select(at("graph_id"), "src", "dst"))
+    d = d.select(F.substring_index("graph_id", " ", 1).alias("graph_id"), F.substring_index("graph_id", " ", -1).cast("int").alias("depth"), F.col("node").alias("id"), "fan_in", "fan_out")
+    return nodes.where("kind = 'dir_cluster'").join(d, ["graph_id", "depth", "id"]).select("graph_id", "depth", "id", "file_count", "fan_in", "fan_out", views.cluster_radius(F.col("file_count")).alias("radius"))
+
+
+FOLDED_SQL = VIEW_SQL + """,
+fn AS (SELECT graph_id, id AS node FROM folded WHERE kind <> 'symbol'), fe AS (SELECT e.graph_id, src, dst FROM rolled e SEMI JOIN fn ON fn.graph_id = e.graph_id AND fn.node = e.dst),
+reachable AS (SELECT graph_id, src AS a, dst AS b FROM fe UNION SELECT c.graph_id, a, k.dst FROM reachable c JOIN fe k ON k.graph_id = c.graph_id AND k.src = c.b),
+part_of AS (SELECT l.graph_id, l.node, least(l.node, coalesce(min(x.b), l.node)) AS component, count(DISTINCT x.b) FILTER (WHERE x.b <> l.node) > 0 AS in_cycle FROM fn l
+  LEFT JOIN (SELECT p.graph_id, p.a, p.b FROM reachable p JOIN reachable q ON q.graph_id = p.graph_id AND q.a = p.b AND q.b = p.a) x ON x.graph_id = l.graph_id AND x.a = l.node GROUP BY l.graph_id, l.node),
+steps_down AS (SELECT DISTINCT k.graph_id, a.component AS src, b.component AS dst FROM fe k JOIN part_of a ON a.graph_id = k.graph_id AND a.node = k.src JOIN part_of b ON b.graph_id = k.graph_id AND b.node = k.dst WHERE a.component <> b.component),
+down AS (SELECT DISTINCT graph_id, component AS node, 0 AS h FROM part_of UNION SELECT d.graph_id, g.dst, h + 1 FROM down d JOIN steps_down g ON g.graph_id = d.graph_id AND g.src = d.node)
+"""
+
+
+@query(sql("SELECT f.graph_id, f.id, f.kind, CAST(max(h) AS BIGINT) AS layer, any_value(in_cycle) AS in_cycle FROM folded f LEFT JOIN part_of c ON c.graph_id = f.graph_id AND c.node = f.id LEFT JOIN down d ON d.graph_id = c.graph_id AND d.node = c.component GROUP BY ALL", more=FOLDED_SQL))
+def v4_overview_layers(g: TestGraph) -> DataFrame:
+    """Layers and cycles of the graph of directories; external symbols have neither."""
+    return views.annotated(*cluster.clustered(*cluster.graph_of(g.files, g.imports), 1)).select("graph_id", "id", "kind", "layer", "in_cycle")
+
+
+@query(sql("""
+SELECT n.graph_id, n.id, n.kind, n.path, layer, fan_in, fan_out, in_cycle, commits FROM nodes n LEFT JOIN layers m ON m.graph_id = n.graph_id AND m.node = n.path LEFT JOIN churn c ON c.graph_id = n.graph_id AND c.path = n.path
+""", one=True, more=VIEW_SQL + LAYER_SQL.removeprefix(DEGREE_SQL) + CHURN_SQL.removeprefix(DEGREE_SQL)), one=True)
+def g11_annotated_nodes(g: TestGraph) -> DataFrame:
+    """All nodes of the full graph with their measures and churn; symbols have none."""
+    nodes, edges = cluster.graph_of(g.files, g.imports)
+    return views.annotated(nodes, edges, ("file",)).join(history.churn(g.commit_files, _live_paths(g)), ["graph_id", "path"], "left").select("graph_id", "id", "kind", "path", "layer", "fan_in", "fan_out", "in_cycle", "commits")
+
+
+@query(sql("""
+SELECT graph_id, 'hubs' AS finding, rank, node AS subject, fan_in AS a, fan_out AS b FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY fan_in DESC, node) AS rank FROM deg WHERE fan_in > 0) WHERE rank <= 15
+UNION ALL SELECT graph_id, 'entry_points', row_number() OVER (PARTITION BY graph_id ORDER BY node), node, NULL, NULL FROM deg WHERE fan_in = 0 AND fan_out > 0
+UNION ALL SELECT * FROM (SELECT graph_id, 'orphans', row_number() OVER (PARTITION BY graph_id ORDER BY node) AS r, node, NULL, NULL FROM deg WHERE fan_in = 0 AND fan_out = 0) WHERE r <= 50
+UNION ALL SELECT graph_id, 'cycles', row_number() OVER (PARTITION BY graph_id ORDER BY size DESC, members), members, size, NULL FROM (SELECT graph_id, count(*) AS size, string_agg(node, ' ' ORDER BY node) AS members FROM comp WHERE in_cycle GROUP BY graph_id, component)
+UNION ALL SELECT * FROM (SELECT c.graph_id, 'risk', row_number() OVER (PARTITION BY c.graph_id ORDER BY commits * fan_in DESC, path) AS r, path, commits, fan_in FROM churn c JOIN deg d ON d.graph_id = c.graph_id AND d.node = c.path WHERE commits * fan_in > 0) WHERE r <= 15
+UNION ALL SELECT * FROM (SELECT c.graph_id, 'coupling', row_number() OVER (PARTITION BY graph_id ORDER BY strength DESC, shared DESC, a, b) AS r, a || ' ' || b, shared, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = c.graph_id AND ((e.src = a AND e.dst = b) OR (e.src = b AND e.dst = a))) THEN 1 ELSE 0 END FROM coupled c) WHERE r <= 20
+""", one=True, more=SCC_SQL + CHURN_SQL.removeprefix(DEGREE_SQL)), one=True)
+def v9_findings(g: TestGraph) -> DataFrame:
+    """The features are the caps: 15 hubs and risks, 20 couplings, 50 orphans of each graph."""
+    return views.finding_rows(views.findings(g.live, g.edges, g.commit_files))
+
+
+@query(sql("SELECT graph_id, a AS src, b AS dst, shared FROM coupled c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = c.graph_id AND ((e.src = a AND e.dst = b) OR (e.src = b AND e.dst = a)))", one=True, more=CHURN_SQL), one=True)
+def l9_hidden_links(g: TestGraph) -> DataFrame:
+    """The overlay of a layout: pairs that change together although neither imports the other."""
+    pairs = history.with_import_edge(history.coupling(g.commit_files, _live_paths(g)), g.edges)
+    return pairs.where("not has_import_edge").select("graph_id", F.col("a").alias("src"), F.col("b").alias("dst"), "shared")
+
+
+@query(sql("""
+SELECT graph_id, id, kind FROM nodes WHERE kind = 'file' UNION ALL SELECT graph_id, id, kind FROM nodes n WHERE kind = 'symbol'
+  AND EXISTS (SELECT 1 FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY src, dst) AS r FROM links) l WHERE r <= 10 AND l.graph_id = n.graph_id AND l.dst = n.id)
+""", more=VIEW_SQL))
+def v1_capped_nodes(g: TestGraph) -> DataFrame:
+    """The feature is the cap, here of ten edges a repository: all files stay, and the symbols that an edge is left of."""
+    return cluster.capped(*cluster.graph_of(g.files, g.imports), 10)[0].select("graph_id", "id", "kind")
+
+
+@query(sql("""
+SELECT graph_id, s AS src, t AS dst, count(*) AS weight FROM (SELECT graph_id, CASE WHEN len(string_split(src, '/')) > 2 THEN 'dir:brand_1/' || split_part(src, '/', 2) ELSE 'file:' || src END AS s, CASE WHEN len(string_split(dst, '/')) > 2 THEN 'dir:brand_1/' || split_part(dst, '/', 2) ELSE 'file:' || dst END AS t
+  FROM known WHERE starts_with(src, 'brand_1/') AND starts_with(dst, 'brand_1/')) WHERE s <> t GROUP BY ALL
+""", more=DEGREE_SQL))
+def v5_expanded_edges(g: TestGraph) -> DataFrame:
+    return cluster.expanded(g.files, g.imports, "brand_1")[1]
+
+
+BLAST_SQL = """
+e AS (SELECT graph_id, dst AS s, src AS t FROM edges JOIN live ON live.graph_id = edges.graph_id AND live.node = src),
+walk AS (SELECT DISTINCT e.graph_id, e.s AS seed, e.t AS node, 1 AS hop FROM e UNION SELECT e.graph_id, seed, e.t, hop + 1 FROM walk w JOIN e ON e.graph_id = w.graph_id AND e.s = w.node WHERE hop < 3),
+found AS (SELECT graph_id, seed, node, min(hop) AS hop FROM walk GROUP BY ALL)
+""".replace("SELECT graph_id, dst AS s", "SELECT edges.graph_id, dst AS s")
+
+
+@query(sql("SELECT graph_id, seed AS node, hop, count(*) AS n FROM found GROUP BY ALL", more=BLAST_SQL))
+def v8_blast_radius(g: TestGraph) -> DataFrame:
+    """How many files depend on each file in exactly one, two and three steps, for all files at once."""
+    everything = g.parts.select("graph_id", F.col("path").alias("node"))
+    return reach.reach_counts(reach.reversed_edges(g.edges), everything, 3, g.live)
+
+
 # ---- ingests -------------------------------------------------------------------------
 
 INGEST_SQL = CALLS_SQL + """,
