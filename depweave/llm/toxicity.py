@@ -21,6 +21,7 @@ get a row each.  Without labelled rows of both classes every score is 0.5.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -109,18 +110,79 @@ def _lower(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.cast(pa.large_string()))
 
 
+def alternatives(lists) -> dict[str, list[str]]:
+    """Term -> what it may be swapped for: the other terms of each list that has it."""
+    other: dict[str, list[str]] = {}
+    for group in lists:
+        for t in group:
+            other.setdefault(t, []).extend(x for x in group if x != t and x not in other[t])
+    return other
+
+
+def mentions_of(other: dict[str, list[str]]) -> re.Pattern:
+    return re.compile(r"\b(?:" + "|".join(re.escape(t) for t in sorted(other, key=len, reverse=True)) + r")\b")
+
+
 def swapped_sentences(text: str, lists) -> Iterator[tuple[str, str]]:
-    """(sentence, the same with one mention swapped) for every mention of a term and every other term of its list; ``text`` in lower case."""
-    other = {t: [x for x in group if x != t] for group in lists for t in group}
+    """(sentence, the same with one mention swapped) for every mention of a term and every other term of its lists; ``text`` in lower case.
+
+    The plain form of what :func:`sentence_changes` counts without a copy of any sentence.
+    """
+    other = alternatives(lists)
     if not other:
         return
-    mention = re.compile(r"\b(?:" + "|".join(re.escape(t) for t in sorted(other, key=len, reverse=True)) + r")\b")
+    mention = mentions_of(other)
     for sentence in re.split(r"[.!?\n]+", text):
         for m in mention.finditer(sentence):
             for t in other[m[0]]:
                 yield sentence, sentence[: m.start()] + t + sentence[m.end() :]
 
 
+def _counts(texts: list[str], features: np.ndarray, filter_: np.ndarray) -> list[dict[int, int]]:
+    """Per text: feature number -> occurrences."""
+    out: list[dict[int, int]] = [{} for _ in texts]
+    for c in chunks(pa.array(texts, pa.string())):
+        text, slot, n, _ = found(c, features, filter_)
+        for t, f, v in zip((c.lo + text).tolist(), slot.tolist(), n.tolist(), strict=True):
+            out[t][f] = v
+    return out
+
+
+#: What a mention is counted in: the bytes that features hold to be one word, that is all but ASCII other than a-z and digits.
+_WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]*")
+
+
+def sentence_changes(text: str, lists, features: np.ndarray, filter_: np.ndarray) -> Iterator[tuple[tuple[int, ...], tuple[float, ...], int]]:
+    """(feature numbers, changes of their values, how many swaps make them) over the swaps of :func:`swapped_sentences`.
+
+    A swap changes nothing but the word it stands in, so a sentence is counted once and each different word with a
+    mention once for each other term; the memory is that of one sentence, however many mentions it has.
+    """
+    other = alternatives(lists)
+    if not other:
+        return
+    mention = mentions_of(other)
+    for sentence in re.split(r"[.!?\n]+", text):
+        swaps: Counter[tuple[str, str]] = Counter()
+        for m in mention.finditer(sentence):
+            begin = m.start()
+            while begin and _WORD.fullmatch(sentence[begin - 1]):
+                begin -= 1
+            end = _WORD.match(sentence, m.end()).end()
+            for t in other[m[0]]:
+                swaps[sentence[begin:end], sentence[begin : m.start()] + t + sentence[m.end() : end]] += 1
+        if not swaps:
+            continue
+        (whole,) = _counts([sentence], features, filter_)
+        words = list(dict.fromkeys(w for pair in swaps for w in pair))
+        inside = dict(zip(words, _counts(words, features, filter_), strict=True))
+        for (a, b), times in swaps.items():
+            gone, come = inside[a], inside[b]
+            by = {f: round(np.log1p(whole.get(f, 0) - gone.get(f, 0) + come.get(f, 0)) - np.log1p(whole.get(f, 0)), 9) for f in sorted({*gone, *come})}
+            if by := {f: float(v) for f, v in by.items() if abs(v) > 1e-9}:
+                yield tuple(by), tuple(by.values()), times
+
+
 def changes(pairs: list[tuple[str, str]], features: np.ndarray, filter_: np.ndarray) -> Iterator[tuple[list[int], list[float]]]:
     """(feature numbers, changes of their values) from a sentence to its swapped form, where the model sees one."""
     for lo in range(0, len(pairs), 2000):
@@ -136,8 +198,15 @@ def changes(pairs: list[tuple[str, str]], features: np.ndarray, filter_: np.ndar
                 yield list(changed), list(changed.values())
 
 
-def fit(text: np.ndarray, slot: np.ndarray, count: np.ndarray, words: np.ndarray, label: np.ndarray, swaps: np.ndarray, n_features: int, counterfactual: float = COUNTERFACTUAL) -> tuple[np.ndarray, float, float]:
-    """Weights, bias, length weight.  ``swaps``: a row per change of features from a sentence to its swapped form, by the root of its weight."""
+def fit(text: np.ndarray, slot: np.ndarray, count: np.ndarray, words: np.ndarray, label: np.ndarray, swaps: np.ndarray | tuple, n_features: int, counterfactual: float = COUNTERFACTUAL) -> tuple[np.ndarray, float, float]:
+    """Weights, bias, length weight.
+
+    ``swaps``: a row per change of features from a sentence to its swapped form, by the root of its weight; a matrix, or
+    its other than zero entries as (number of rows, rows, columns, values).
+    """
+    if isinstance(swaps, np.ndarray):
+        swaps = (len(swaps), *np.nonzero(swaps), swaps[np.nonzero(swaps)])
+    n_swaps, at, of, by = swaps
     x, length = np.log1p(count.astype(np.float64)), np.log1p(words.astype(np.float64))
     n = len(label)
     weight = np.where(label == 1, 0.5 / max(label.mean(), 1e-9), 0.5 / max(1 - label.mean(), 1e-9))
@@ -146,8 +215,8 @@ def fit(text: np.ndarray, slot: np.ndarray, count: np.ndarray, words: np.ndarray
     for k in range(1, ROUNDS + 1):
         z = np.bincount(text, x * theta[slot], n) + theta[-2] + theta[-1] * length
         e = (label - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) * weight / n
-        change = swaps @ theta[:-2] if len(swaps) else np.zeros(0)
-        g = np.concatenate([np.bincount(slot, x * e[text], n_features) - PENALTY * theta[:-2] - counterfactual * (swaps.T @ change if len(swaps) else 0), [e.sum(), (e * length).sum()]])
+        change = np.bincount(at, by * theta[of], n_swaps)
+        g = np.concatenate([np.bincount(slot, x * e[text], n_features) - PENALTY * theta[:-2] - counterfactual * np.bincount(of, by * change[at], n_features), [e.sum(), (e * length).sum()]])
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g**2
         theta = theta + 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
@@ -197,20 +266,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, exclude=None, id_col: str =
     def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in _lower(b.column(2)):
-                found_ = list(changes(list(swapped_sentences(x.as_py() or "", identity_terms)), bare.features, bare.filter))
-                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found_], pa.list_(pa.int64())), pa.array([v for _, v in found_], pa.list_(pa.float64()))], names=["slots", "by"])
+                times: Counter[tuple] = Counter()
+                for f, v, n in sentence_changes(x.as_py() or "", identity_terms, bare.features, bare.filter):
+                    times[f, v] += n
+                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in times], pa.list_(pa.int64())), pa.array([v for _, v in times], pa.list_(pa.float64())), pa.array(times.values(), pa.int64())], names=["slots", "by", "times"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("label", T.IntegerType()), T.StructField("words", T.LongType()), T.StructField("slot", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.LongType()))])
     got = sample.mapInArrow(chosen, schema).toArrow().sort_by("id")
     flat = lambda x: got[x].combine_chunks().flatten().to_numpy()
     text = np.repeat(np.arange(got.num_rows), pc.list_value_length(got["slot"]).to_numpy())
     # equal changes count together: as many rows as there are pairs of terms, and of counts in a sentence
-    change = sample.mapInArrow(swapped, "slots array<long>, by array<double>").groupBy("slots", "by").count().toArrow()
-    terms = [(t, x) for group in identity_terms for t in group for x in group if x != t]
-    rows = [*zip(change["slots"].to_pylist(), change["by"].to_pylist(), change["count"].to_pylist(), strict=True), *((f, v, 1) for f, v in changes(terms, bare.features, bare.filter))]
-    swaps = np.zeros((len(rows), len(features)))
-    for i, (f, v, n) in enumerate(sorted(rows)):
-        swaps[i, f] = np.array(v) * np.sqrt(n)
+    change = sample.mapInArrow(swapped, "slots array<long>, by array<double>, times long").groupBy("slots", "by").agg(F.sum("times").alias("times")).toArrow()
+    terms = [(t, x) for t, others in alternatives(identity_terms).items() for x in others]
+    rows = sorted([*zip(change["slots"].to_pylist(), change["by"].to_pylist(), change["times"].to_pylist(), strict=True), *((f, v, 1) for f, v in changes(terms, bare.features, bare.filter))])
+    entries = [(i, f, v * np.sqrt(n)) for i, (fs, vs, n) in enumerate(rows) for f, v in zip(fs, vs, strict=True)]
+    swaps = (len(rows), *(np.array([e[k] for e in entries], kind) for k, kind in enumerate((np.int64, np.int64, np.float64))))
     w, bias, length = fit(text, flat("slot"), flat("n"), got["words"].to_numpy(), got["label"].to_numpy(), swaps, len(features), counterfactual)
     return Toxicity(features, w, bias, length)
 
