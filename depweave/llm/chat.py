@@ -7,8 +7,11 @@ whose end falls into one cell of the prefix sums; a turn that crosses into a cel
 and is longer than the spare room stands alone.  So a window's own turns never
 exceed its room, unless a single turn does (texts are never cut).  Every later
 window first repeats the conversation's opening system turn and the last turns
-before it, up to ``history`` tokens.  Repeated turns carry no loss: each assistant
-turn is a target exactly once.
+before it, up to ``history`` tokens.  Any system turn shorter than the budget is
+repeated; where one leaves less than twice the history, history gets half of what it
+leaves.  One of the budget or more is said once, in the first window, as no later one
+could hold anything beside it.  Repeated turns carry no loss: each assistant turn is a
+target exactly once.
 
 Template: ``<turn ROLE>TEXT</turn>`` and ``<repeat ROLE>TEXT</repeat>``, a line
 break after each.  In texts and roles a backslash becomes ``\\b`` and ``<`` becomes
@@ -67,16 +70,15 @@ def with_prefix_sums(turns: DataFrame, tokens=default_tokens, conv_col: str = "c
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=default_tokens, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per window: conv_id, window (its order), n_tokens, formatted, loss."""
     summed = with_prefix_sums(turns, tokens, conv_col, turn_col, role_col, text_col)
-    opening = materialise(summed.where((F.col("before") == 0) & (F.col("role") == "system") & (F.col("tokens") <= budget - history - budget // 4)).select(F.col("conv").alias("c0"), F.col("text").alias("system"), F.col("tokens").alias("system_tokens")), "chat-system")
-    room = F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0))
-    cell = F.expr("room * 3 div 4")
-    t = summed.join(opening, F.col("conv").eqNullSafe(F.col("c0")), "left").drop("c0").withColumn("room", room).withColumn("cell", cell)
+    opening = materialise(summed.where((F.col("before") == 0) & (F.col("role") == "system") & (F.col("tokens") < budget)).select(F.col("conv").alias("c0"), F.col("text").alias("system"), F.col("tokens").alias("system_tokens")), "chat-system")
+    left = F.lit(budget) - F.coalesce("system_tokens", F.lit(0))
+    t = summed.join(opening, F.col("conv").eqNullSafe(F.col("c0")), "left").drop("c0").withColumn("hist", F.least(F.lit(history), F.floor(left / 2))).withColumn("room", left - F.col("hist")).withColumn("cell", F.expr("greatest(1, room * 3 div 4)"))
     end_cell = F.expr("(before + tokens - 1) div cell")
     alone = (end_cell > F.expr("before div cell")) & (F.col("tokens") > F.col("room") - F.col("cell"))
-    t = materialise(t.select("conv", "role", "text", "tokens", "before", "system_tokens", (end_cell * 2 + F.when(alone, 0).otherwise(1)).alias("window")), "chat-assigned")
+    t = materialise(t.select("conv", "role", "text", "tokens", "before", "hist", (end_cell * 2 + F.when(alone, 0).otherwise(1)).alias("window")), "chat-assigned")
     starts = materialise(t.groupBy("conv", "window").agg(F.min("before").alias("start")).where("start > 0").select(F.col("conv").alias("wc"), F.col("window").alias("w"), "start", F.expr(f"start div {history}").alias("slot")), "chat-starts")
     past = t.where(~((F.col("before") == 0) & (F.col("role") == "system"))).withColumn("slot", F.explode(F.expr(f"array(before div {history}, before div {history} + 1)")))
-    near = (F.col("before") + F.col("tokens") <= F.col("start")) & (F.col("start") - F.col("before") <= history)
+    near = (F.col("before") + F.col("tokens") <= F.col("start")) & (F.col("start") - F.col("before") <= F.col("hist"))
     repeated = past.alias("p").join(starts.alias("s"), F.col("p.conv").eqNullSafe(F.col("s.wc")) & (F.col("p.slot") == F.col("s.slot")) & near)
     cols = ["conv", "window", "before", "tokens", "role", "text", "again"]
     first = starts.join(opening, F.col("wc").eqNullSafe(F.col("c0")))

@@ -98,13 +98,13 @@ WITH raw AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
   SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
 p AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn, 4 + CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM raw),
 s AS (SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM p),
-sys AS (SELECT conv_id, tokens AS st, text AS system FROM s WHERE before = 0 AND role = 'system' AND tokens <= 1024 - 192 - 256),
-r AS (SELECT s.*, st, 1024 - 192 - coalesce(st, 0) AS room FROM s LEFT JOIN sys USING (conv_id)),
-c AS (SELECT *, room * 3 // 4 AS cell FROM r),
+sys AS (SELECT conv_id, tokens AS st, text AS system FROM s WHERE before = 0 AND role = 'system' AND tokens < 1024),
+r AS (SELECT s.*, st, least(192, (1024 - coalesce(st, 0)) // 2) AS hist, 1024 - coalesce(st, 0) - least(192, (1024 - coalesce(st, 0)) // 2) AS room FROM s LEFT JOIN sys USING (conv_id)),
+c AS (SELECT *, greatest(1, room * 3 // 4) AS cell FROM r),
 w AS (SELECT *, ((before + tokens - 1) // cell) * 2 + CASE WHEN (before + tokens - 1) // cell > before // cell AND tokens > room - cell THEN 0 ELSE 1 END AS win FROM c),
 st AS (SELECT conv_id, win, min(before) AS start FROM w GROUP BY ALL HAVING min(before) > 0),
 msg AS (SELECT conv_id, role, text, 'turn' AS kind FROM w
-  UNION ALL SELECT st.conv_id, w.role, w.text, 'repeat' FROM st JOIN w ON w.conv_id = st.conv_id AND w.before + w.tokens <= st.start AND st.start - w.before <= 192 WHERE NOT (w.before = 0 AND w.role = 'system')
+  UNION ALL SELECT st.conv_id, w.role, w.text, 'repeat' FROM st JOIN w ON w.conv_id = st.conv_id AND w.before + w.tokens <= st.start AND st.start - w.before <= w.hist WHERE NOT (w.before = 0 AND w.role = 'system')
   UNION ALL SELECT conv_id, 'system', system, 'repeat' FROM st JOIN sys USING (conv_id)),
 ch AS (SELECT conv_id, CAST(sum(2 * length(kind) + 7 + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g')) + length(replace(replace(text, '\', '\b'), '<', '\l'))) AS BIGINT) AS formatted_chars FROM msg GROUP BY conv_id),
 d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY before)) AS turns_sha256,
@@ -146,8 +146,8 @@ FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND payload_bytes >= 1
 def op2_warc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc as m
 
-    # the table has no capture time: a second for each page, from 2024 on
-    captured = F.timestamp_seconds(F.lit(1704067200) + F.coalesce("page_id", F.lit(0)))
+    # the table has no capture time: a second for each page, from 2024 on, in a range that ids of any size stay in
+    captured = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1 << 31)))
     captures = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", captured.alias("captured"), F.col("html").alias("payload"))
     merged = m.merge_runs(m.capture_runs(spark, m.write_archives(captures)))
     return merged.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -73,7 +73,7 @@ def record(id_: Column, url: Column, captured: Column, payload: Column, size: Co
         clean = F.replace(clean, F.lit(c), F.lit(f"%{ord(c):02X}"))
     head = F.concat(
         F.lit(f"WARC/1.1{_CRLF}WARC-Type: "), F.when(response, "response").otherwise("revisit"),
-        F.lit(f"{_CRLF}WARC-Record-ID: <{_ID}"), text(id_), F.lit(f">{_CRLF}WARC-Date: "), F.date_format(captured, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit(f"{_CRLF}WARC-Record-ID: <{_ID}"), text(id_), F.lit(f">{_CRLF}WARC-Date: "), F.date_format(F.to_utc_timestamp(captured, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         F.when(url.isNull(), "").otherwise(F.concat(F.lit(f"{_CRLF}WARC-Target-URI: "), clean)),
         F.lit(f"{_CRLF}WARC-Payload-Digest: sha1:"), digest,
         F.when(response, "").otherwise(F.concat(F.lit(f"{_CRLF}WARC-Profile: {_PROFILE}{_CRLF}WARC-Refers-To: <{_ID}"), text(refers_to), F.lit(">"))),
