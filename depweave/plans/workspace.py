@@ -87,16 +87,26 @@ class Workspace:
             raise LookupError(f"there is no file {path!r} in {graph_id!r}")
         return found.asDict()
 
+    def _lines(self, graph_id: str, path: str, start: int | None, end: int | None) -> tuple[str, int, int, bool]:
+        """A range of the source that the store keeps, or of the working copy if it keeps none."""
+        stored = self.store.table("sources", graph_id).where(F.col("path") == path)
+        found = slices.with_ranges(stored, F.lit(start).cast("int"), F.lit(end).cast("int")).first()
+        if found is None:
+            return slices.read_source(clone.local_path(graph_id, self.repos_dir), path, start, end)
+        if found["error"]:
+            raise ValueError(found["error"])
+        return found["slice"], found["start_line"], found["end_line"], found["truncated"]
+
     def file_content(self, graph_id: str, path: str, start: int | None = None, end: int | None = None) -> dict:
         about = self.file_metadata(graph_id, path)  # deleted files are not shown
-        text, first, last, cut = slices.read_source(clone.local_path(graph_id, self.repos_dir), about["path"], start, end)
+        text, first, last, cut = self._lines(graph_id, about["path"], start, end)
         return {"path": about["path"], "language": about["language"], "content": text, "start_line": first, "end_line": last, "truncated": cut}
 
     def function_source(self, graph_id: str, node_id: str) -> dict:
         about = self.node(graph_id, node_id)
         if about["kind"] in ("file", "other") or about["start_line"] is None or about["end_line"] is None:
             raise ValueError(f"{node_id!r} is no function with a place in a file")
-        text, first, last, cut = slices.read_source(clone.local_path(graph_id, self.repos_dir), about["path"], about["start_line"], about["end_line"])
+        text, first, last, cut = self._lines(graph_id, about["path"], about["start_line"], about["end_line"])
         return {**about, "source": text, "start_line": first, "end_line": last, "truncated": cut}
 
     def schema(self, graph_id: str) -> dict:

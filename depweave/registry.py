@@ -11,7 +11,7 @@ from depweave.functions import paths as P
 from depweave.operators import cluster, history, reach, resolve, search, structure
 from depweave.plans import tools, views
 from depweave.plans.testgraph import TestGraph, sql
-from depweave.session import shared_dir
+from depweave.session import materialise, shared_dir
 from depweave.sources import gitlog, slices
 
 QUERIES: dict = {}
@@ -941,3 +941,46 @@ def w8_keys(g: TestGraph) -> DataFrame:
     there = g.parts.where(F.length("path") % 7 > 0)
     files = there.unionByName(there.where(F.length("path") % 5 == 0))
     return violations({"files": files, "functions": g.functions, "defines": g.defines, "imports": g.imports.where("dst_kind = 'file'")})
+
+
+# ---- stored sources ------------------------------------------------------------------
+
+SOURCE_SQL = CALLS_SQL + """,
+heads AS (SELECT graph_id, src AS path, string_agg(line, '' ORDER BY line) AS imports FROM (SELECT graph_id, src, 'import ' || replace(dst[:-4], '/', '.') || chr(10) AS line FROM edges) GROUP BY ALL),
+bodies AS (SELECT graph_id, caller AS qualified_name, string_agg(line, '' ORDER BY line) AS body FROM (SELECT DISTINCT graph_id, caller, '    ' || callee || '()' || chr(10) AS line FROM raw_calls) GROUP BY ALL),
+defs AS (SELECT f.graph_id, f.path, f.qualified_name, chr(10) || chr(10) || 'def ' || f.name || '():' || chr(10) || coalesce(body, '    pass' || chr(10)) AS def FROM functions f LEFT JOIN bodies USING (graph_id, qualified_name)),
+texts AS (SELECT p.graph_id, p.path, 'import os' || chr(10) || coalesce(imports, '') || coalesce(d, '') AS text FROM parts p LEFT JOIN heads USING (graph_id, path) LEFT JOIN (SELECT graph_id, path, string_agg(def, '' ORDER BY def) AS d FROM defs GROUP BY ALL) USING (graph_id, path)),
+lined AS (SELECT *, string_split(text, chr(10))[:-2] AS ls FROM texts),
+placed_defs AS (SELECT *, length(pre) - length(replace(pre, chr(10), '')) + 1 AS s, length(def) - length(replace(def, chr(10), '')) - 3 AS n FROM (SELECT d.*, t.text[:position(d.def IN t.text) + 1] AS pre FROM defs d JOIN texts t USING (graph_id, path)))
+"""
+
+
+def _stored(g: TestGraph) -> DataFrame:
+    return materialise(slices.indexed(g.sources), "sources")
+
+
+@query(sql("SELECT graph_id, path, array_to_string(ls[2:least(len(ls), 7)], chr(10)) AS content, 2 AS start_line, CAST(least(len(ls), 7) AS INT) AS end_line FROM lined WHERE len(ls) > 1", more=SOURCE_SQL, python=True), python=True)
+def q13_file_content(g: TestGraph) -> DataFrame:
+    """Lines 2 to 7 of every stored source that has them, cut by the places of its lines."""
+    return slices.with_ranges(_stored(g), F.lit(2), F.lit(7)).where("error is null").select("graph_id", "path", F.col("slice").alias("content"), "start_line", "end_line")
+
+
+@query(sql("SELECT graph_id, qualified_name, path, def[3:-2] AS source, CAST(s AS INT) AS start_line, CAST(s + n AS INT) AS end_line FROM placed_defs", more=SOURCE_SQL, python=True), python=True)
+def q14_function_source(g: TestGraph) -> DataFrame:
+    """Functions are read from the sources, and their lines cut out of what is stored."""
+    from depweave import extract
+
+    found = slices.function_sources(extract.functions_of(extract.extracted(g.sources)), _stored(g))
+    return found.select("graph_id", "qualified_name", "path", F.col("slice").alias("source"), "start_line", "end_line")
+
+
+@query(sql("""
+SELECT d.graph_id, d.path, 'function' AS section, CAST(s AS INT) AS place, qualified_name AS name FROM placed_defs d JOIN seed ON seed.graph_id = d.graph_id AND seed.node = d.path
+UNION ALL SELECT e.graph_id, dst, 'imported_by', NULL, src FROM edges e JOIN seed ON seed.graph_id = e.graph_id AND seed.node = e.dst
+UNION ALL SELECT e.graph_id, src, 'imports', NULL, dst FROM edges e JOIN seed ON seed.graph_id = e.graph_id AND seed.node = e.src
+UNION ALL SELECT DISTINCT graph_id, node, 'external_symbol', NULL, name FROM (SELECT graph_id, node, 'os' AS name FROM seed UNION ALL SELECT c.graph_id, seed.node, c.callee FROM called c JOIN seed ON seed.graph_id = c.graph_id AND seed.node = c.path WHERE c.qualified_name IS NULL)
+UNION ALL SELECT l.graph_id, l.path, 'lines', CAST(len(ls) AS INT), NULL FROM lined l JOIN seed ON seed.graph_id = l.graph_id AND seed.node = l.path
+""", more=SOURCE_SQL, python=True), python=True)
+def v10_file_detail(g: TestGraph) -> DataFrame:
+    """All that is shown of the most imported file of each graph, from a store that was filled from sources."""
+    return views.file_detail(_store_of(g)[0].tables(), g.most_imported())
