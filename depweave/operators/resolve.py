@@ -94,22 +94,26 @@ def bind_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """Calls (graph_id, path, caller, callee, receiver, caller_class) -> adds qualified_name and tier, null where unbound, and n: how often it occurs.
 
     Tiers: 1 a method of the enclosing class through self; 2 the receiver's class;
-    3 the same file; 4 the lexicographically first of the repository.
+    3 the same file; 4 the lexicographically first of the repository.  Functions are
+    reduced to one per tier and key, and all tiers are looked up in one join; what a
+    hot name weighs is on the side of the calls, which a skewed join may split.
     """
     part = F.substring_index("qualified_name", "::", -1)
-    named = functions.select("graph_id", "qualified_name", "path", part.alias("part"), F.substring_index(part, ".", -1).alias("callee")).distinct()
-    anywhere = named.groupBy("graph_id", "callee").agg(F.min("qualified_name").alias("q4"))
-    in_file = named.groupBy("graph_id", "path", "callee").agg(F.min("qualified_name").alias("q3"))
-    by_part = named.groupBy("graph_id", "part").agg(F.min("qualified_name").alias("q2"))
-    c = calls.where("callee <> ''").groupBy("graph_id", "path", "caller", "callee", "receiver", "caller_class").agg(F.count("*").alias("n"))
+    named = functions.select("graph_id", "qualified_name", "path", part.alias("part"), F.substring_index(part, ".", -1).alias("callee"))
+    in_file = F.concat_ws("::", "path", "callee")
+    keyed = lambda *keys: F.array(*[F.struct(F.lit(tier).alias("tier"), key.alias("key")) for tier, key in keys])
+    lookup = named.select("graph_id", F.inline(keyed((2, F.col("part")), (3, in_file), (4, F.col("callee")))), "qualified_name").groupBy("graph_id", "tier", "key").agg(F.min("qualified_name").alias("found"))
+    call = ["graph_id", "path", "caller", "callee", "receiver", "caller_class"]
+    c = calls.where("callee <> ''").groupBy(*call).agg(F.count("*").alias("n"))
+    of_class = F.when(F.col("receiver") != "self", F.concat("receiver", F.lit("."), "callee"))
+    tried = c.select(*call, "n", F.inline(keyed((2, of_class), (3, in_file), (4, F.col("callee")))))
+    # a call keeps its row for the repository's name whether or not one is found
+    found = tried.where("key is not null").join(lookup, ["graph_id", "tier", "key"], "left").select(*call, "n", "tier", "found")
     own = F.concat("caller_class", F.lit("."), "callee")
-    selfish = c.where("receiver = 'self' and caller_class is not null")
-    q1 = selfish.join(named.select("graph_id", "path", "callee", "part", "qualified_name"), ["graph_id", "path", "callee"]).where(F.startswith("part", own)).groupBy("graph_id", "path", "caller", "callee", "caller_class").agg(F.min("qualified_name").alias("q1"))
-    c = c.join(q1.withColumn("receiver", F.lit("self")), ["graph_id", "path", "caller", "callee", "receiver", "caller_class"], "left")
-    c = c.withColumn("part", F.when(F.col("receiver") != "self", F.concat("receiver", F.lit("."), "callee"))).join(by_part, ["graph_id", "part"], "left")
-    c = c.join(in_file, ["graph_id", "path", "callee"], "left").join(anywhere, ["graph_id", "callee"], "left")
-    tier = F.when(F.col("q1").isNotNull(), 1).when(F.col("q2").isNotNull(), 2).when(F.col("q3").isNotNull(), 3).when(F.col("q4").isNotNull(), 4)
-    return c.select("graph_id", "path", "caller", "callee", "receiver", "caller_class", F.coalesce("q1", "q2", "q3", "q4").alias("qualified_name"), tier.alias("tier"), "n")
+    through_self = c.where("receiver = 'self' and caller_class is not null").join(named, ["graph_id", "path", "callee"]).where(F.startswith("part", own)).select(*call, "n", F.lit(1).alias("tier"), F.col("qualified_name").alias("found"))
+    best = F.min(F.when(F.col("found").isNotNull(), F.struct("tier", "found")))
+    out = found.unionByName(through_self).groupBy(*call, "n").agg(best.alias("best"))
+    return out.select(*call, F.col("best.found").alias("qualified_name"), F.col("best.tier").alias("tier"), "n")
 
 
 def call_edges(bound: DataFrame, functions: DataFrame) -> DataFrame:

@@ -112,7 +112,10 @@ SELECT i.graph_id, i.dst AS name, 'import' AS kind, i.src AS via FROM symbol_imp
 UNION ALL SELECT c.graph_id, c.dst, 'call', c.caller FROM calls c JOIN own o ON o.graph_id = c.graph_id AND o.node = c.caller WHERE dst_kind = 'symbol'
 """, more=CALLS_SQL))
 def q8_external_symbols(g: TestGraph) -> DataFrame:
-    return tools.external_symbols(g.files, g.defines, g.imports, _calls(g), g.most_imported())
+    """Only calls made in the seeds' files are bound."""
+    seed = g.most_imported()
+    raw = g.raw_calls.join(seed.withColumnRenamed("node", "path"), ["graph_id", "path"], "left_semi")
+    return tools.external_symbols(g.files, g.defines, g.imports, resolve.call_edges(resolve.bind_calls(raw, g.functions), g.functions), seed)
 
 
 @query(sql("SELECT * FROM found ORDER BY hop, node, graph_id LIMIT 500", more=_bfs(_BACK)))
