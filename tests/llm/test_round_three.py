@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from depweave.llm import chat, queries, toxicity, warc
+from depweave.llm import chat, line_dedup, queries, toxicity, warc
 from depweave.llm.textbytes import chunks
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -122,3 +122,12 @@ def test_toxicity_scores_are_the_logistic_function_of_the_counts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x["doc_id"]: x["score"] for x in toxicity.score(docs, m).collect()}
     assert np.allclose([got[i] for i in range(len(texts))], [plain(t) for t in texts])
+
+
+def test_line_dedup_takes_columns_of_any_name(spark):
+    line = "one line of seven words in all"
+    rows = [(1, line, "a", 1, 2, 3), (2, f"{line}\nother", "b", 4, 5, None)]
+    names = "doc_id long, text string, __cut string, __id int, __th int, ___cut int"
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, names), removed_col="n_removed")
+    assert out.columns == ["doc_id", "text", "__cut", "__id", "__th", "___cut", "n_removed"]
+    assert sorted(map(tuple, out.collect())) == [(1, line, "a", 1, 2, 3, 0), (2, "other", "b", 4, 5, None, 1)]
