@@ -880,7 +880,7 @@ def _store_of(g: TestGraph):
 
     kept = Store(g.spark, _new_folder(g))
     commits = g.spark.createDataFrame([], "graph_id string, path string, author string, committed_at string, sha string")
-    return kept, commits, kept.ingest_all(g.repositories, g.sources, commits)
+    return kept, commits, kept.ingest_all(g.repositories, materialise(g.sources, "sources"), commits)
 
 
 def _again(g: TestGraph, kept, commits):
