@@ -1,8 +1,10 @@
 """Benchmark decontamination with suffix arrays over the training words.
 
-Each shard (a bounded run of texts inside a task) gets a word-level suffix array;
-every different window of the benchmark items is binary-searched in it, which yields
-all its occurrences at once.  Matches that don't go on to the left are then extended to
+Each shard (a bounded run of texts inside a task) gets a word-level suffix array.  The
+windows of the benchmark items that may occur in it are those whose rolling hash a run of
+its words has: its hashes are looked up in the benchmark's sorted ones, so a shard's work
+hardly grows with the benchmark.  These windows are binary-searched in the array, which
+yields all their occurrences at once (equal hashes alone decide nothing).  Matches that don't go on to the left are then extended to
 the longest verbatim match of the item suffix that starts there, in parts of bounded
 size, so that repetitive texts cost time but no memory.  Only positions that can match enter the
 array: a run of words in which every word occurs in the benchmark and which is at
@@ -10,8 +12,8 @@ least as long as the shortest window.  Words outside such runs cannot lie in any
 occurrence, so nothing is lost and the array is short on ordinary text.
 
 The benchmark is measured first.  It is split into blocks of at most
-``block_bytes`` of text, each broadcast by itself; the training texts are scanned
-once per block and never shuffled.
+``block_bytes`` of text, each broadcast by itself and dropped before the next one; the
+training texts are scanned once per block and never shuffled.
 
 Defined results: null or empty texts have no words and no hits; null or empty
 items have no windows; rows with the same id each get a row; items with the same
@@ -20,7 +22,7 @@ id count once; other columns are ignored (scan) or kept (removal).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,6 +56,31 @@ class Block:
     item_of: np.ndarray  # per token
     item_ids: list[str]
     shortest: int
+    hashes: dict[int, tuple[np.ndarray, np.ndarray]]  # per window length: sorted rolling hashes, their windows
+
+
+def rolling(tokens: np.ndarray, lengths: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hashes of the runs of that many tokens from each place); runs that reach over the end are left out."""
+    mixed = tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    out, k = np.zeros(len(tokens), np.uint64), 0
+    for length in sorted(lengths):
+        while k < min(length, len(tokens)):
+            out = out[: len(tokens) - k] * np.uint64(0x100000001B3) + mixed[k:]
+            k += 1
+        yield length, out if k == length else out[:0]
+
+
+def possible(tokens: np.ndarray, block: Block) -> np.ndarray:
+    """The windows, in order, whose rolling hash a run of these tokens has: all that occur, and few others."""
+    found = [np.zeros(0, np.int64)]
+    for length, seen in rolling(tokens, block.hashes):
+        keys, windows = block.hashes[length]
+        seen = np.unique(seen)
+        low, high = np.searchsorted(keys, seen), np.searchsorted(keys, seen, "right")
+        found.append(windows[ranges(low, high - low)])
+    return np.sort(np.concatenate(found))
 
 
 def window_classes(tokens: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -102,7 +129,13 @@ def build_block(item_ids: list[str], texts: list[str | None], window: int = WIND
     owner = np.zeros(len(tokens), np.int64)
     owner[place] = item
     first = order[begin]
-    return Block(vocabulary, table, tokens, place[at][first], length[at][first], np.append(begin, len(order)), place[at][order], owner, list(item_ids), int(length[at].min(initial=window)))
+    start, long = place[at][first], length[at][first]
+    table_of = {}
+    for k, h in rolling(tokens, np.unique(long).tolist()):
+        windows = np.flatnonzero(long == k)
+        by_hash = np.argsort(h[start[windows]], kind="stable")
+        table_of[k] = h[start[windows]][by_hash], windows[by_hash]
+    return Block(vocabulary, table, tokens, start, long, np.append(begin, len(order)), place[at][order], owner, list(item_ids), int(length[at].min(initial=window)), table_of)
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -161,11 +194,13 @@ def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
-def extended(tokens: np.ndarray, begin: np.ndarray, window: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index into ``begin``, place in the items, words) of all verbatim matches that can't be longer on either side.
+def extended(tokens: np.ndarray, begin: np.ndarray, window: np.ndarray, text: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into ``begin``, place in the items, words) of verbatim matches that can't be longer on either side, of each text the longest among them.
 
     Pairs of an occurrence and a place of the window in the items are made in parts of
     ``PAIRS``; those whose words before agree too belong to a match that begins there.
+    A part leaves one match of each text: its longest, the first of them in the text,
+    of the least item.
     """
     many = block.place_begin[window + 1] - block.place_begin[window]
     parts = np.searchsorted(np.cumsum(many), np.arange(PAIRS, int(many.sum()) + PAIRS, PAIRS))
@@ -185,8 +220,10 @@ def extended(tokens: np.ndarray, begin: np.ndarray, window: np.ndarray, block: B
             b = block.tokens[np.minimum(place[live] + length[live], len(block.tokens) - 1)]
             live = live[(a == b) & (a > 0)]
             length[live] += 1
+        order = np.lexsort((block.item_of[place], begin[at], -length, text[at]))
+        order = order[np.diff(text[at][order], prepend=-1) != 0]
         for x, v in zip(found, (at, place, length), strict=True):
-            x.append(v)
+            x.append(v[order])
         lo = hi
     return tuple(np.concatenate([*x, np.zeros(0, np.int64)]) for x in found)
 
@@ -220,9 +257,7 @@ def scan(c: Chunk, block: Block) -> Hits:
     back = np.zeros(len(tokens), np.int64)
     back[place] = np.arange(len(at))
     order = suffix_array(tokens, int(block.window_length.max()))
-    present = np.zeros(len(block.vocabulary) + 1, bool)
-    present[tokens] = True
-    windows = np.flatnonzero(present[block.tokens[block.window_start]])
+    windows = possible(tokens, block)
     low, high = search(tokens, order, block, windows)
     n = high - low
     window = np.repeat(windows, n)
@@ -231,30 +266,34 @@ def scan(c: Chunk, block: Block) -> Hits:
     in_text = np.unique(np.stack([text[src], window], 1), axis=0)
     many = block.place_begin[in_text[:, 1] + 1] - block.place_begin[in_text[:, 1]]
     items = np.stack([np.repeat(in_text[:, 0], many), block.item_of[block.places[ranges(block.place_begin[in_text[:, 1]], many)]]], 1)
-    which, place, longest = extended(tokens, begin, window, block)
+    which, place, longest = extended(tokens, begin, window, text[src], block)
     src_of = src[which]
     matches = np.stack([text[src_of], longest, at[src_of] - first[text[src_of]], block.item_of[place]], 1)
     return Hits(counts, text[src], at[src] - first[text[src]], block.window_length[window].astype(np.int64), np.unique(items, axis=0), matches)
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Block]:
-    """The benchmark in blocks of about ``block_bytes`` of text, fetched one at a time."""
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> tuple[int, Iterator[Block]]:
+    """How many blocks of about ``block_bytes`` of text the benchmark has; the blocks, fetched one at a time."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 16)).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    for i in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
-        got = part.toArrow()
-        yield build_block(got["item"].to_pylist(), got["text"].to_pylist(), window)
+
+    def fetched() -> Iterator[Block]:
+        for i in range(n):
+            part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
+            got = part.toArrow()
+            yield build_block(got["item"].to_pylist(), got["text"].to_pylist(), window)
+
+    return n, fetched()
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: n_words, n_hit, items (sorted ids), and the longest verbatim match with its item and word number."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    blocks = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, item_col, item_text_col, window, block_bytes)]
+    n_blocks, blocks = blocks_of(benchmark, item_col, item_text_col, window, block_bytes)
     slim = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), F.monotonically_increasing_id().alias("__row"))
-    if len(blocks) > 1:
+    if n_blocks > 1:
         slim = materialise(slim, "decontaminate")  # fixes the row numbers over several scans
     span = T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))
     best = T.StructType([T.StructField("length", T.LongType()), T.StructField("word", T.LongType()), T.StructField("item", T.StringType())])
@@ -287,9 +326,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
         return run
 
-    parts = [slim.mapInArrow(one(b), schema) for b in blocks]
+    parts = []
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(block)
+        part = slim.mapInArrow(one(sent), schema)
+        if n_blocks > 1:  # written, so that one block at a time is in memory
+            part = materialise(part, "decontaminate-block")
+            sent.destroy()
+        parts.append(part)
     out = parts[0]
-    if len(parts) > 1:
+    if n_blocks > 1:
         for p in parts[1:]:
             out = out.unionByName(p)
         out = out.groupBy("__row").agg(
@@ -333,8 +379,11 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
         return run
 
     out = docs
-    for i, block in enumerate(blocks_of(benchmark, item_col, item_text_col, window, block_bytes)):
-        if i:
+    n_blocks, blocks = blocks_of(benchmark, item_col, item_text_col, window, block_bytes)
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(block)
+        out = out.mapInArrow(one(sent), docs.schema)
+        if n_blocks > 1:
             out = materialise(out, "decontaminated")
-        out = out.mapInArrow(one(spark.sparkContext.broadcast(block)), docs.schema)
+            sent.destroy()
     return out
