@@ -259,7 +259,7 @@ def test_scores_agree_with_plain_counts(spark, head):
 
 def plain_word_tree(texts, root, depth, gain_bits, least, least_next):
     """P(next | words before) by a dictionary of contexts, the last word first."""
-    states = {}
+    states, kept = {}, set()
 
     def p(before, w, k):
         """At the longest state of at most k words."""
@@ -277,15 +277,17 @@ def plain_word_tree(texts, root, depth, gain_bits, least, least_next):
         seen = collections.defaultdict(collections.Counter)
         for x in texts:
             for i in range(k, len(x)):
-                context = tuple(reversed(x[i - k : i]))
-                if k == 1 or context[:-1] in states:
-                    seen[context][x[i]] += 1
+                seen[tuple(reversed(x[i - k : i]))][x[i]] += 1
         for context, c in seen.items():
             t, own = sum(c.values()), {w: n for w, n in c.items() if n >= least_next}
             before = list(reversed(context))
             gain = sum(n * np.log2(n / t / p(before[1:], w, k - 1)) for w, n in own.items())
-            if t >= least and own and gain >= gain_bits:
+            if t >= least and own:
                 states[context] = (t, own)
+                for j in range(1, k + 1) if gain >= gain_bits else ():
+                    kept.add(context[:j])
+    for context in set(states) - kept:
+        del states[context]
     return p, states
 
 
