@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 
 from depweave.session import materialise
 
-from .blocks import block_pairs, longer_side
+from .blocks import longer_side, refined_pairs
 from .components import connected_components
 from .textbytes import bounded_batches
 
@@ -54,6 +54,8 @@ MOST_BITS = 2
 BUCKET = 16
 #: Shingles of a text, the first by hash, that make its blocks.
 SKETCH = 24
+#: Odd numbers: products of the hashes with each stand in an order of their own.
+ORDERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 #: Widths of the segments from the top bit down, and how far each is shifted right.
 SEGMENTS = ((22, 42), (21, 21), (21, 0))
 
@@ -192,19 +194,23 @@ def similar_links(docs: DataFrame, text_col: str, size: int, similarity: float,
     """(a, b) of fingerprints whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``.
 
     ``docs`` has one text per fingerprint in columns ``fp`` and ``text_col``.  The
-    candidates share the SimHash of a block of shingles (:mod:`.blocks`).
+    candidates share the SimHash of a block of shingles (:mod:`.blocks`); texts of
+    crowded blocks are also paired by blocks of their shingles in ``ORDERS`` other orders.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = [shingle_hashes(x.as_py(), size) for x in b.column(1)]
             keys = [block_fingerprints(h).view(np.int64) for h in hashes]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(np.unique(h)) for h in hashes], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["item", "size", "keys"])
+            more = [np.concatenate([block_fingerprints(h * k).view(np.int64) for k in ORDERS]) for h in hashes]
+            parts = [b.column(0), pa.array([len(np.unique(h)) for h in hashes], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(parts, names=["item", "size", "keys", "more"])
 
     texts = docs.select("fp", F.col(text_col).cast("string").alias("text"))
-    blocks = materialise(texts.mapInArrow(run, "item long, size long, keys array<long>"), "near-blocks")
+    blocks = materialise(texts.mapInArrow(run, "item long, size long, keys array<long>, more array<long>"), "near-blocks")
     members = blocks.select("item", "size", F.explode("keys").alias("key"))
-    pairs = materialise(block_pairs(members, longer_side(similarity), bucket, "near").distinct(), "near-pairs")
+    finer = lambda items: blocks.join(items.select("item"), "item").select("item", "size", F.explode("more").alias("key"))
+    pairs = materialise(refined_pairs(members, finer, longer_side(similarity), bucket, "near").select("a", "b"), "near-pairs")
     wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     texts = materialise(texts.join(wanted, "fp"), "near-texts")
     both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
