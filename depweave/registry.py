@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from depweave.functions import paths as P
@@ -244,6 +244,27 @@ def s8_commit_files(g: TestGraph) -> DataFrame:
     return gitlog.commit_files(heads.unionByName(body)).groupBy("graph_id", "path").agg(F.count("*").alias("n"))
 
 
+HEADS_SQL = """
+heads AS (SELECT DISTINCT graph_id, commit_seq * 2 AS place FROM commit_files UNION ALL SELECT DISTINCT graph_id, commit_seq * 2 + 1 FROM commit_files WHERE commit_seq % 5 = 0),
+numbered AS (SELECT graph_id, place, row_number() OVER (PARTITION BY graph_id ORDER BY place) AS commit_seq FROM heads)
+"""
+
+
+@query(sql("""
+SELECT n.graph_id, n.commit_seq, CAST(n.place AS VARCHAR) AS sha, count(*) AS n_files
+FROM numbered n JOIN commit_files c ON n.graph_id = c.graph_id AND n.place = c.commit_seq * 2 GROUP BY ALL
+""", more=HEADS_SQL))
+def s8_commit_numbers(g: TestGraph) -> DataFrame:
+    """Commits are numbered as they stand in the log; every fifth is followed by one without files, and all have blank lines."""
+    commits = g.commit_files.select("graph_id", "commit_seq").distinct()
+    places = commits.select("graph_id", (F.col("commit_seq") * 2).alias("place")).unionByName(commits.where("commit_seq % 5 = 0").select("graph_id", (F.col("commit_seq") * 2 + 1).alias("place")))
+    heads = places.select("graph_id", (F.col("place") * 100_000).alias("line_no"), F.concat(F.lit("\0"), F.col("place").cast("string")).alias("line"))
+    blank = places.select("graph_id", (F.col("place") * 100_000 + 1).alias("line_no"), F.lit("").alias("line"))
+    within = Window.partitionBy("graph_id", "commit_seq").orderBy("path")  # an order's files
+    body = g.commit_files.select("graph_id", (F.col("commit_seq") * 200_000 + 1 + F.row_number().over(within)).alias("line_no"), F.col("path").alias("line"))
+    return gitlog.commit_files(heads.unionByName(blank).unionByName(body)).groupBy("graph_id", "commit_seq", "sha").agg(F.count("*").alias("n_files"))
+
+
 @query(sql("""
 SELECT graph_id, path, language, list_contains(string_split(path, '/'), 'build') AS skipped FROM parts
 """))

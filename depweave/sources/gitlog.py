@@ -1,63 +1,99 @@
 """Commit histories from the text of git logs.
 
-Logs come as rows (graph_id, line_no, line).  A header applies to the lines after
-it, which is a running value over line numbers; each repository is one window.
+Logs come as rows (graph_id, line_no, line), every line number once in a repository.  A
+header applies to the lines after it.  That running value is taken in two levels, inside
+blocks of line numbers and over the blocks of a repository, so the log of a large
+repository is spread over many tasks and no window holds more than a block.
 """
 
 from __future__ import annotations
 
+import io
 import subprocess
+import threading
+import uuid
+from itertools import batched
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from depweave.session import shared_dir
+
 #: A commit id, author and date, divided by bars; the date may hold bars, a path that looks so cannot be told apart.
 _HEADER = r"^([0-9a-f]{7,40})\|([^|]*)\|(.*)$"
 HISTORY_LIMIT = 5000
 TIMEOUT_SECONDS = 120
+#: Line numbers in a block.
+BLOCK = 65_536
+#: Lines of a log that the driver holds at once.
+CHUNK_LINES = 500_000
 
 
 def _stripped(column: str = "line"):
     return F.regexp_replace(column, r"^\s+|\s+$", "")
 
 
-def last_commits(log: DataFrame) -> DataFrame:
+def under_headers(lines: DataFrame, header: Column, block: int = BLOCK) -> DataFrame:
+    """The lines with ``header``, the last header up to each line, and ``commit_seq``, the number of headers up to it.
+
+    ``header`` is null on lines that are none.
+    """
+    at = lines.select("*", header.alias("own"), F.expr(f"line_no div {block}").alias("block"))
+    inside = Window.partitionBy("graph_id", "block").orderBy("line_no")
+    seen = at.withColumns({"inner": F.last("own", ignorenulls=True).over(inside), "n": F.count("own").over(inside)})
+    last = F.max(F.when(F.col("own").isNotNull(), F.struct("line_no", "own")))["own"]
+    blocks = at.groupBy("graph_id", "block").agg(last.alias("last"), F.count("own").alias("held"))
+    before = Window.partitionBy("graph_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select("graph_id", "block", F.last("last", ignorenulls=True).over(before).alias("outer"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("passed"))
+    both = seen.join(carried, ["graph_id", "block"])
+    return both.select(*lines.columns, F.coalesce("inner", "outer").alias("header"), (F.col("passed") + F.col("n")).alias("commit_seq"))
+
+
+def last_commits(log: DataFrame, block: int = BLOCK) -> DataFrame:
     """(graph_id, path, sha, author, committed_at): the first commit in the log that names each path."""
-    line = _stripped()
-    lines = log.select("graph_id", "line_no", line.alias("line")).where(F.col("line") != "")
-    header = F.when(F.col("line").rlike(_HEADER), F.col("line"))
-    order = Window.partitionBy("graph_id").orderBy("line_no")
-    named = lines.withColumn("header", F.last(header, ignorenulls=True).over(order)).where(~F.col("line").rlike(_HEADER) & F.col("header").isNotNull())
+    lines = log.select("graph_id", "line_no", _stripped().alias("line")).where(F.col("line") != "")
+    is_header = F.col("line").rlike(_HEADER)
+    named = under_headers(lines, F.when(is_header, F.col("line")), block).where(~is_header & F.col("header").isNotNull())
     first = named.groupBy("graph_id", F.col("line").alias("path")).agg(F.min_by("header", "line_no").alias("h"))
     return first.select("graph_id", "path", *[F.regexp_extract("h", _HEADER, i + 1).alias(n) for i, n in enumerate(("sha", "author", "committed_at"))])
 
 
-def commit_files(log: DataFrame) -> DataFrame:
+def commit_files(log: DataFrame, block: int = BLOCK) -> DataFrame:
     """(graph_id, commit_seq, sha, path) from a log whose headers begin with a NUL; commits without files vanish."""
-    order = Window.partitionBy("graph_id").orderBy("line_no")
     is_header = F.startswith(F.col("line"), F.lit("\0"))
-    runs = log.select("graph_id", "line_no", "line", is_header.alias("h")).withColumn("commit_seq", F.sum(F.col("h").cast("long")).over(order)).withColumn("sha", F.last(F.when(F.col("h"), F.substring("line", 2, 64)), ignorenulls=True).over(order))
-    return runs.where(~F.col("h") & (F.col("commit_seq") > 0)).select("graph_id", "commit_seq", "sha", _stripped().alias("path")).where("path <> ''")
+    runs = under_headers(log.select("graph_id", "line_no", "line"), F.when(is_header, F.substring("line", 2, 64)), block)
+    return runs.where(~is_header & (F.col("commit_seq") > 0)).select("graph_id", "commit_seq", F.col("header").alias("sha"), _stripped().alias("path")).where("path <> ''")
 
 
-def _log(root: str, *arguments: str) -> str | None:
+def _log(spark: SparkSession, graph_id: str, root: str, *arguments: str) -> DataFrame:
+    """The lines of a clone's log, copied to the shared folder as they come; none if git fails or takes too long."""
+    schema = "graph_id string, line_no long, line string"
+    none = spark.createDataFrame([], schema)
+    table = f"{shared_dir(spark)}/tables/log-{uuid.uuid4().hex}"
     try:
-        done = subprocess.run(["git", "-C", root, "log", *arguments], capture_output=True, timeout=TIMEOUT_SECONDS, check=False)
-    except (OSError, subprocess.SubprocessError):
-        return None
-    return done.stdout.decode("utf-8", "replace") if done.returncode == 0 else None
-
-
-def _rows(spark: SparkSession, graph_id: str, text: str | None) -> DataFrame:
-    rows = [(graph_id, i, x) for i, x in enumerate((text or "").split("\n"))] if text else []
-    return spark.createDataFrame(rows, "graph_id string, line_no long, line string")
+        git = subprocess.Popen(["git", "-C", root, "log", *arguments], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+    except OSError:
+        return none
+    patience = threading.Timer(TIMEOUT_SECONDS, git.kill)
+    patience.start()
+    written = False
+    try:
+        with git, io.TextIOWrapper(git.stdout, "utf-8", "replace", newline="\n") as text:
+            for rows in batched(enumerate(text), CHUNK_LINES):
+                parts = {"graph_id": [graph_id] * len(rows), "line_no": [i for i, _ in rows], "line": [x.removesuffix("\n") for _, x in rows]}
+                spark.createDataFrame(pa.table(parts)).write.mode("append").parquet(table)
+                written = True
+    finally:
+        patience.cancel()
+    return spark.read.schema(schema).parquet(table) if written and git.returncode == 0 else none
 
 
 def read_last_commit_log(spark: SparkSession, root: str, graph_id: str) -> DataFrame:
     """The log of a clone for :func:`last_commits`; empty when there is none."""
-    return _rows(spark, graph_id, _log(root, "--format=%H|%an|%aI", "--name-only"))
+    return _log(spark, graph_id, root, "--format=%H|%an|%aI", "--name-only")
 
 
 def read_history_log(spark: SparkSession, root: str, graph_id: str, most: int = HISTORY_LIMIT) -> DataFrame:
     """The log of a clone for :func:`commit_files`, without merges; empty on any failure."""
-    return _rows(spark, graph_id, _log(root, f"--max-count={most}", "--format=%x00%H", "--name-only", "--no-merges"))
+    return _log(spark, graph_id, root, f"--max-count={most}", "--format=%x00%H", "--name-only", "--no-merges")

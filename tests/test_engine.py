@@ -1,4 +1,5 @@
 import random
+import subprocess
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -188,6 +189,46 @@ def test_logs(spark):
     assert {(r["commit_seq"], r["sha"], r["path"]) for r in gitlog.commit_files(df).collect()} == {(1, "s1", "a"), (1, "s1", "b"), (3, "s3", "c")}
 
 
+def test_logs_are_read_alike_in_blocks_of_any_size(spark):
+    r = random.Random(5)
+    rows, commits, newest = [], set(), {}
+    for g in ("h.com/a", "h.com/b"):
+        at, number, sha = -700, 0, None
+        for _ in range(300):
+            at += r.choice((1, 1, 1, 2, 90))
+            if r.random() < 0.1:
+                number, sha = number + 1, f"{r.randrange(16**7):07x}"
+                rows.append((g, at, f"\0{sha}", f"{sha}|An|d"))
+                continue
+            path = r.choice(("", "a.py", "b.py", f"lib/{r.randrange(40)}.py"))
+            rows.append((g, at, path, path))
+            if path and number:
+                commits.add((g, number, sha, path))
+                newest.setdefault((g, path), sha)
+    df = spark.createDataFrame(rows, "graph_id string, line_no long, nul string, bars string")
+    for block in (1, 7, 100, 65_536):
+        got = gitlog.commit_files(df.select("graph_id", "line_no", F.col("nul").alias("line")), block).collect()
+        assert {(x["graph_id"], x["commit_seq"], x["sha"], x["path"]) for x in got} == commits, block
+        got = gitlog.last_commits(df.select("graph_id", "line_no", F.col("bars").alias("line")), block).collect()
+        assert {(x["graph_id"], x["path"]): x["sha"] for x in got} == newest and len(got) == len(newest), block
+
+
+def test_a_log_is_copied_in_chunks_and_no_repository_has_none(spark, tmp_path, monkeypatch):
+    assert gitlog.read_history_log(spark, str(tmp_path / "nowhere"), G).count() == 0
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=An", "-c", "user.email=a@x", *a], check=True, capture_output=True)
+    git("init", "-b", "main")
+    assert gitlog.read_last_commit_log(spark, str(tmp_path), G).count() == 0  # no commit yet
+    for k in range(3):
+        (tmp_path / f"f{k}.py").write_text("x")
+        git("add", "-A")
+        git("commit", "-m", str(k))
+    monkeypatch.setattr(gitlog, "CHUNK_LINES", 2)
+    got = gitlog.commit_files(gitlog.read_history_log(spark, str(tmp_path), G)).select("commit_seq", "path").collect()
+    assert {tuple(x) for x in got} == {(1, "f2.py"), (2, "f1.py"), (3, "f0.py")}
+    got = gitlog.last_commits(gitlog.read_last_commit_log(spark, str(tmp_path), G)).collect()
+    assert {(x["path"], x["author"]) for x in got} == {(f"f{k}.py", "An") for k in range(3)}
+
+
 def test_coupling_and_churn(spark):
     commits = [["a", "b"], ["a", "b"], ["a", "b", "c"], ["c"], ["a", *[f"w{i}" for i in range(70)]], ["gone", "a"]]
     rows = [(G, i, p) for i, c in enumerate(commits) for p in c]
