@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from depweave.session import spread
+
 LANGUAGES = (("py", "py"), ("ts", "ts"), ("js", "js"), ("java", "java"), ("kt", "kotlin"), ("tsx", "tsx"))
 
 
@@ -20,6 +22,7 @@ class TestGraph:
 
     def __init__(self, spark: SparkSession, sf_dir: str, one: bool = False, python: bool = False):
         self.spark, self._python = spark, python
+        spread(spark, sf_dir)
         self._t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
         self._graph = F.lit("example.com/all") if one else F.concat(F.lit("example.com/"), F.lower("p_type"))
         self._made: dict[str, DataFrame] = {}

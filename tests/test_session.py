@@ -12,3 +12,27 @@ def test_scratch_tables_keep_their_schema_and_can_be_cleared(spark):
     assert os.listdir(folder)
     clear_scratch(spark)
     assert not os.path.exists(folder)
+
+
+def test_shuffles_begin_with_partitions_in_proportion_to_the_input(spark, tmp_path, monkeypatch):
+    from depweave import session
+
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.range(20_000).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        session.spread(spark, str(tmp_path))
+        assert spark.conf.get(name, None) is None  # small inputs keep the session's number
+        assert spark.conf.get(size) == session.JOINED
+        spark.conf.set(size, "8MB")
+        monkeypatch.setattr(session, "INPUT_PER_PARTITION", 1000)
+        session.spread(spark, str(tmp_path))
+        assert int(spark.conf.get(name)) > 50
+        spark.conf.set(name, "100000")
+        session.spread(spark, str(tmp_path))
+        assert spark.conf.get(name) == "100000" and spark.conf.get(size) == "8MB"
+    finally:
+        spark.conf.unset(size)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
