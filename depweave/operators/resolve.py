@@ -94,33 +94,35 @@ def bind_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """Calls (graph_id, path, caller, callee, receiver, caller_class) -> adds qualified_name and tier, null where unbound, and n: how often it occurs.
 
     Tiers: 1 a method of the enclosing class through self; 2 the receiver's class;
-    3 the same file; 4 the lexicographically first of the repository.  Functions are
-    reduced to one per tier and key, and all tiers are looked up in one join; what a
-    hot name weighs is on the side of the calls, which a skewed join may split.
+    3 the same file; 4 the lexicographically first of the repository.  Calls are
+    dealt by file and name, where tiers 1 and 3 are looked up, and once more by name;
+    functions are reduced to one per name, and what a hot name weighs is on the side
+    of the calls, which a skewed join may split.
     """
     part = F.substring_index("qualified_name", "::", -1)
     named = functions.select("graph_id", "qualified_name", "path", part.alias("part"), F.substring_index(part, ".", -1).alias("callee"))
-    in_file = F.concat_ws("::", "path", "callee")
-    keyed = lambda *keys: F.array(*[F.struct(F.lit(tier).alias("tier"), key.alias("key")) for tier, key in keys])
-    lookup = named.select("graph_id", F.inline(keyed((2, F.col("part")), (3, in_file), (4, F.col("callee")))), "qualified_name").groupBy("graph_id", "tier", "key").agg(F.min("qualified_name").alias("found"))
+    here = named.groupBy("graph_id", "path", "callee").agg(F.collect_list(F.struct("qualified_name", "part")).alias("here"))  # of one name in one file
     call = ["graph_id", "path", "caller", "callee", "receiver", "caller_class"]
-    c = calls.where("callee <> ''").groupBy(*call).agg(F.count("*").alias("n"))
-    of_class = F.when(F.col("receiver") != "self", F.concat("receiver", F.lit("."), "callee"))
-    tried = c.select(*call, "n", F.inline(keyed((2, of_class), (3, in_file), (4, F.col("callee")))))
-    # a call keeps its row for the repository's name whether or not one is found
-    found = tried.where("key is not null").join(lookup, ["graph_id", "tier", "key"], "left").select(*call, "n", "tier", "found")
+    c = calls.where("callee <> ''").repartition("graph_id", "path", "callee").groupBy(*call).agg(F.count("*").alias("n"))
     own = F.concat("caller_class", F.lit("."), "callee")
-    through_self = c.where("receiver = 'self' and caller_class is not null").join(named, ["graph_id", "path", "callee"]).where(F.startswith("part", own)).select(*call, "n", F.lit(1).alias("tier"), F.col("qualified_name").alias("found"))
-    best = F.min(F.when(F.col("found").isNotNull(), F.struct("tier", "found")))
-    out = found.unionByName(through_self).groupBy(*call, "n").agg(best.alias("best"))
-    return out.select(*call, F.col("best.found").alias("qualified_name"), F.col("best.tier").alias("tier"), "n")
+    through_self = F.filter("here", lambda f: (F.col("receiver") == "self") & F.startswith(f["part"], own))
+    first = lambda fs: F.array_min(F.transform(fs, lambda f: f["qualified_name"]))
+    of_class = F.when(F.col("receiver") != "self", F.concat("receiver", F.lit("."), "callee"))
+    near = c.join(here, ["graph_id", "path", "callee"], "left").select(*call, "n", first(through_self).alias("t1"), first(F.col("here")).alias("t3"), of_class.alias("of_class"))
+    by_part = named.groupBy("graph_id", F.col("part").alias("of_class")).agg(F.min("qualified_name").alias("t2"))
+    received = near.where("of_class is not null").join(by_part, ["graph_id", "of_class"], "left").drop("of_class")
+    others = near.where("of_class is null").drop("of_class").withColumn("t2", F.lit(None).cast("string"))
+    by_name = named.groupBy("graph_id", "callee").agg(F.min("qualified_name").alias("t4"))
+    out = received.unionByName(others).join(by_name, ["graph_id", "callee"], "left")
+    tier = F.when(F.col("t1").isNotNull(), 1).when(F.col("t2").isNotNull(), 2).when(F.col("t3").isNotNull(), 3).when(F.col("t4").isNotNull(), 4)
+    return out.select(*call, F.coalesce("t1", "t2", "t3", "t4").alias("qualified_name"), tier.alias("tier"), "n")
 
 
 def call_edges(bound: DataFrame, functions: DataFrame) -> DataFrame:
     """Edges (graph_id, caller, dst_kind, dst) of callers that are functions; unbound calls go to symbols."""
     known = functions.select("graph_id", F.col("qualified_name").alias("caller")).distinct()
-    edges = bound.select("graph_id", "caller", F.when(F.col("qualified_name").isNotNull(), "function").otherwise("symbol").alias("dst_kind"), F.coalesce("qualified_name", "callee").alias("dst")).distinct()
-    return edges.join(known, ["graph_id", "caller"], "left_semi")
+    edges = bound.select("graph_id", "caller", F.when(F.col("qualified_name").isNotNull(), "function").otherwise("symbol").alias("dst_kind"), F.coalesce("qualified_name", "callee").alias("dst"))
+    return edges.join(known, ["graph_id", "caller"], "left_semi").select("graph_id", "caller", "dst_kind", "dst").distinct()
 
 
 def symbols(imports: DataFrame, bound: DataFrame) -> DataFrame:

@@ -27,3 +27,13 @@ def test_every_tier_and_a_hot_name(spark):
     got = {tuple(x)[:6]: (x["qualified_name"], x["tier"], x["n"]) for x in resolve.bind_calls(c, f).collect()}
     want = {x: (*plain(x, functions), calls.count(x)) for x in set(calls) if x[3]}
     assert got == want and {t for _, t, _ in want.values()} == {None, 1, 2, 3, 4}
+
+
+def test_calls_are_dealt_twice_and_never_listed_once_for_each_tier(spark):
+    calls = spark.createDataFrame([("g", "a.py", "a.py::f", "go", "self", "C"), ("g", "a.py", "a.py::f", "go", "D", None), ("g", "a.py", "a.py::f", "go", None, None), ("g", "b.py", "b.py::h", "go", None, None), ("g", "b.py", "b.py::h", "no", "E", None)], "graph_id string, path string, caller string, callee string, receiver string, caller_class string")
+    functions = spark.createDataFrame([("g", q, q.split("::")[0]) for q in ("a.py::go", "a.py::C.go", "0.py::go", "z.py::D.go")], "graph_id string, qualified_name string, path string")
+    bound = resolve.bind_calls(calls.unionByName(calls.limit(1)), functions)
+    got = {(r["path"], r["callee"], r["receiver"]): (r["qualified_name"], r["tier"], r["n"]) for r in bound.collect()}
+    assert got == {("a.py", "go", "self"): ("a.py::C.go", 1, 2), ("a.py", "go", "D"): ("z.py::D.go", 2, 1), ("a.py", "go", None): ("a.py::C.go", 3, 1), ("b.py", "go", None): ("0.py::go", 4, 1), ("b.py", "no", "E"): (None, None, 1)}
+    plan = bound._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline(" not in plan
