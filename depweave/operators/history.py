@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from depweave.session import materialise
+
 #: Commits that touch more live files than this say nothing about coupling.
 MAX_WIDTH = 60
 MIN_SHARED = 3
@@ -36,16 +38,19 @@ def coupling(commit_files: DataFrame, live: DataFrame, min_shared: int = MIN_SHA
     at most; strength is the share of commits touching either file that touch both,
     over commits of any width.
     """
-    t = touched(commit_files, live)
+    ids = materialise(live.select("graph_id", "path").distinct().withColumn("id", F.monotonically_increasing_id()), "file-ids")
+    # files are numbers until the end: pairs are many
+    t = materialise(commit_files.join(ids, ["graph_id", "path"]).select("graph_id", "commit_seq", "id").distinct(), "touched")
     width = F.count("*").over(Window.partitionBy("graph_id", "commit_seq"))
     narrow = t.withColumn("width", width).where(F.col("width").between(2, max_width))
-    files = narrow.groupBy("graph_id", "commit_seq").agg(F.array_sort(F.collect_list("path")).alias("f"))  # max_width at most
-    left = files.select("graph_id", F.posexplode("f").alias("i", "a"), "f")
-    pairs = left.select("graph_id", "a", F.explode(F.expr("slice(f, i + 2, size(f))")).alias("b"))
-    shared = pairs.groupBy("graph_id", "a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
-    total = t.groupBy("graph_id", "path").agg(F.count("*").alias("n"))
-    one = shared.join(total.withColumnsRenamed({"path": "a", "n": "na"}), ["graph_id", "a"]).join(total.withColumnsRenamed({"path": "b", "n": "nb"}), ["graph_id", "b"])
-    return one.select("graph_id", "a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("strength"))
+    files = narrow.groupBy("graph_id", "commit_seq").agg(F.array_sort(F.collect_list("id")).alias("f"))  # max_width at most
+    left = files.select(F.posexplode("f").alias("i", "a"), "f")
+    pairs = left.select("a", F.explode(F.expr("slice(f, i + 2, size(f))")).alias("b"))
+    shared = materialise(pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared), "shared")
+    total = materialise(ids.join(t.groupBy("id").agg(F.count("*").alias("n")), "id"), "file-totals")
+    side = lambda x, *more: total.select(F.col("id").alias(x), F.col("path").alias(f"p{x}"), F.col("n").alias(f"n{x}"), *more)
+    one = shared.join(side("a"), "a").join(side("b", "graph_id"), "b")
+    return one.select("graph_id", F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("strength"))
 
 
 def with_import_edge(pairs: DataFrame, imports: DataFrame) -> DataFrame:

@@ -62,3 +62,23 @@ def test_every_node_has_a_bit_of_its_own(spark, monkeypatch):
 def test_no_seeds(spark):
     empty = spark.createDataFrame([], "graph_id string, node string")
     assert reach.reach_counts(spark.createDataFrame([(G, "a", "b")], "graph_id string, src string, dst string"), empty, 3).collect() == []
+
+
+def test_rounds_and_pairs_shuffle_numbers_instead_of_paths(spark, monkeypatch):
+    from depweave.operators import history, structure
+
+    made = {}
+    for module in (structure, history):
+        monkeypatch.setattr(module, "materialise", lambda df, name, f=module.materialise: made.setdefault(name, []).append(dict(df.dtypes)) or f(df, name))
+    r = random.Random(8)
+    edges = spark.createDataFrame([(g, f"n{r.randrange(60)}", f"n{r.randrange(60)}") for g in ("g", "h") for _ in range(90)], "graph_id string, src string, dst string")
+    nodes = spark.createDataFrame([(g, f"n{i}") for g in ("g", "h") for i in range(58)], "graph_id string, node string")
+    want = rows(structure.metrics(nodes, edges))
+    assert rows(structure.metrics(nodes, edges, 0)) == want
+    for table, types in made.items():
+        if table.startswith(("scc", "layer", "graph-large")):
+            assert all(x in ("int", "bigint", "boolean") for t in types for x in t.values()), table
+    commits = spark.createDataFrame([("g", c, f"n{i}") for c in range(4) for i in (9, 10, 57, 59)], "graph_id string, commit_seq long, path string")
+    found = rows(history.coupling(commits, nodes.withColumnRenamed("node", "path")))
+    assert found == [("g", a, b, 4, 1.0) for a, b in (("n10", "n57"), ("n10", "n9"), ("n57", "n9"))]
+    assert "string" not in made["shared"][0].values() and made["touched"][0]["id"] == "bigint"
