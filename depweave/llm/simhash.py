@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 
 from depweave.session import materialise
 
-from .blocks import longer_side, refined_pairs
+from .blocks import block_pairs, longer_side, rest_pairs, sent
 from .components import connected_components
 from .textbytes import bounded_batches
 
@@ -54,8 +54,6 @@ MOST_BITS = 2
 BUCKET = 16
 #: Shingles of a text, the first by hash, that make its blocks.
 SKETCH = 24
-#: Odd numbers: products of the hashes with each stand in an order of their own.
-ORDERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 #: Widths of the segments from the top bit down, and how far each is shifted right.
 SEGMENTS = ((22, 42), (21, 21), (21, 0))
 
@@ -191,29 +189,20 @@ def block_fingerprints(hashes: np.ndarray) -> np.ndarray:
 
 
 def similar_links(docs: DataFrame, text_col: str, size: int, similarity: float, bucket: int) -> DataFrame:
-    """(a, b) of fingerprints whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``.
+    """(a, b) that connect the fingerprints whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``.
 
-    ``docs`` has one text per fingerprint in columns ``fp`` and ``text_col``.  The
-    candidates share the SimHash of a block of shingles (:mod:`.blocks`); texts of
-    crowded blocks are also paired by blocks of their shingles in ``ORDERS`` other orders.
+    ``docs`` has one text per fingerprint in columns ``fp`` and ``text_col``, equal rows
+    of it count once.  The candidates share the SimHash of a block of shingles
+    (:mod:`.blocks`): all pairs of crowded blocks that the links of the others leave in
+    different groups are compared as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = [shingle_hashes(x.as_py(), size) for x in b.column(1)]
             keys = [block_fingerprints(h).view(np.int64) for h in hashes]
-            more = [np.concatenate([block_fingerprints(h * k).view(np.int64) for k in ORDERS]) for h in hashes]
-            parts = [b.column(0), pa.array([len(np.unique(h)) for h in hashes], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(parts, names=["item", "size", "keys", "more"])
-
-    texts = docs.select("fp", F.col(text_col).cast("string").alias("text"))
-    blocks = materialise(texts.mapInArrow(run, "item long, size long, keys array<long>, more array<long>"), "near-blocks")
-    members = blocks.select("item", "size", F.explode("keys").alias("key"))
-    finer = lambda items: blocks.join(items.select("item"), "item").select("item", "size", F.explode("more").alias("key"))
-    pairs = materialise(refined_pairs(members, finer, longer_side(similarity), bucket, "near").select("a", "b"), "near-pairs")
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    texts = materialise(texts.join(wanted, "fp"), "near-texts")
-    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+            parts = [b.column(0), pa.array([len(np.unique(h)) for h in hashes], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(parts, names=["item", "size", "keys"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,7 +213,20 @@ def similar_links(docs: DataFrame, text_col: str, size: int, similarity: float,
                 ok.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return materialise(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "near-links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = materialise(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "near-wanted")
+        own = materialise(texts.join(sent(wanted), "fp").dropDuplicates(["fp"]), "near-texts")
+        both = pairs.join(own.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+        return materialise(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "near-links")
+
+    texts = docs.select("fp", F.col(text_col).cast("string").alias("text"))
+    blocks = materialise(texts.mapInArrow(run, "item long, size long, keys array<long>"), "near-blocks").dropDuplicates(["item"])
+    members = materialise(blocks.select("item", "size", F.explode("keys").alias("key")), "near-members")
+    fits = longer_side(similarity)
+    pairs, crowded = block_pairs(members, fits, bucket, "near")
+    near = verified(materialise(pairs.distinct(), "near-pairs"))
+    rest = rest_pairs(crowded, connected_components(near, "near-rounds"), fits, "near")
+    return near.unionByName(verified(rest)) if not rest.isEmpty() else near
 
 
 def _grouped(marked: DataFrame, id_col: str, bucket: int, more: DataFrame | None = None) -> DataFrame:
@@ -256,10 +258,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     more = None
     if similarity is not None:
         rows = materialise(marked.groupBy("fp").agg(F.min("row").alias("row")), "near-rows")
-        texts = slim.withColumn("row", row).join(rows, "row").dropDuplicates(["fp"])
+        texts = slim.withColumn("row", row).join(sent(rows), "row")
         more = similar_links(texts, "text", size, similarity, bucket)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     stay = marked.join(_grouped(marked, "id", bucket, more), "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("kept"))
     stay = materialise(stay, "near-kept")
-    whole = docs.select(F.struct("*").alias("doc"), F.xxhash64(docs[id_col], docs[text_col].cast("string")).alias("row"))
-    return whole.join(stay, whole["row"] == stay["kept"], "left_semi").dropDuplicates(["row"]).select("doc.*")
+    whole = docs.select(F.struct("*").alias("doc"), F.xxhash64(docs[id_col], docs[text_col].cast("string")).alias("row")).join(sent(stay.select(F.col("kept").alias("row"))), "row", "left_semi")
+    repeated = sent(materialise(marked.groupBy("row").count().where(F.col("count") > 1).select("row"), "near-repeated"))
+    # only rows equal in id and text are grouped, so the other texts need no shuffle
+    one = whole.join(repeated, "row", "left_semi").dropDuplicates(["row"])
+    return whole.join(repeated, "row", "left_anti").unionByName(one).select("doc.*")
