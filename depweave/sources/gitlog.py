@@ -3,7 +3,8 @@
 Logs come as rows (graph_id, line_no, line), every line number once in a repository.  A
 header applies to the lines after it.  That running value is taken in two levels, inside
 blocks of line numbers and over the blocks of a repository, so the log of a large
-repository is spread over many tasks and no window holds more than a block.
+repository is spread over many tasks.  Where line numbers have gaps, a block is wider by
+as much, so that blocks stay few.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depweave.session import shared_dir
+from depweave.session import materialise, shared_dir
 
 #: A commit id, author and date, divided by bars; the date may hold bars, a path that looks so cannot be told apart.
 _HEADER = r"^([0-9a-f]{7,40})\|([^|]*)\|(.*)$"
 HISTORY_LIMIT = 5000
 TIMEOUT_SECONDS = 120
-#: Line numbers in a block.
+#: Lines in a block, about.
 BLOCK = 65_536
 #: Lines of a log that the driver holds at once.
 CHUNK_LINES = 500_000
@@ -34,12 +35,19 @@ def _stripped(column: str = "line"):
     return F.regexp_replace(column, r"^\s+|\s+$", "")
 
 
+def in_blocks(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The lines with ``block``: runs of line numbers of one width, of a repository's n lines at most n / block + 1 runs."""
+    spans = lines.groupBy("graph_id").agg(F.count("*").alias("n"), F.min("line_no").alias("lo"), F.max("line_no").alias("hi"))
+    width = F.expr(f"(hi - lo) div greatest(1L, ceil(n / {block})) + 1")
+    return lines.join(spans.select("graph_id", "lo", width.alias("width")), "graph_id").select(*lines.columns, F.expr("(line_no - lo) div width").alias("block"))
+
+
 def under_headers(lines: DataFrame, header: Column, block: int = BLOCK) -> DataFrame:
     """The lines with ``header``, the last header up to each line, and ``commit_seq``, the number of headers up to it.
 
     ``header`` is null on lines that are none.
     """
-    at = lines.select("*", header.alias("own"), F.expr(f"line_no div {block}").alias("block"))
+    at = in_blocks(materialise(lines.select("*", header.alias("own")), "log-lines"), block)
     inside = Window.partitionBy("graph_id", "block").orderBy("line_no")
     seen = at.withColumns({"inner": F.last("own", ignorenulls=True).over(inside), "n": F.count("own").over(inside)})
     last = F.max(F.when(F.col("own").isNotNull(), F.struct("line_no", "own")))["own"]
