@@ -37,3 +37,24 @@ def test_calls_are_dealt_twice_and_never_listed_once_for_each_tier(spark):
     assert got == {("a.py", "go", "self"): ("a.py::C.go", 1, 2), ("a.py", "go", "D"): ("z.py::D.go", 2, 1), ("a.py", "go", None): ("a.py::C.go", 3, 1), ("b.py", "go", None): ("0.py::go", 4, 1), ("b.py", "no", "E"): (None, None, 1)}
     plan = bound._jdf.queryExecution().optimizedPlan().toString()
     assert "inline(" not in plan
+
+
+def test_calls_are_bound_in_their_own_file_as_they_are_read(spark):
+    """The same as by joins, for calls that come twice, through self, a class, the file, another file and nothing; few of them are dealt."""
+    from depweave import extract
+
+    texts = {
+        "a.py": "class A:\n    def run(self, b: B):\n        self.run()\n        self.stop()\n        b.go()\n        b.go()\n        b.none()\n        help()\n        far()\n    def stop(self):\n        nothing()\n\ndef help():\n    help()\n    x = A()\n    x.run()\n",
+        "b.py": "class B:\n    def go(self):\n        self.far()\n        go()\n    class C:\n        def go(self):\n            self.go()\n\ndef far():\n    def go():\n        pass\n    (lambda: 1)()\n",
+        "c.py": "help()\nfar()\nfar()\nself.help()\n",
+        "d.py": "def broken(:",
+    }
+    sources = spark.createDataFrame([(g, p, "py", t.encode()) for g in "gh" for p, t in texts.items() if (g, p) != ("h", "b.py")], "graph_id string, path string, language string, content binary")
+    plain_, near = extract.extracted(sources), extract.extracted(sources, near=True)
+    rows = lambda df: sorted((tuple(x) for x in df.collect()), key=str)
+    want = rows(resolve.bind_calls(extract.calls_of(plain_), extract.functions_of(plain_)))
+    bound = resolve.bind_read(near.selectExpr("graph_id", "path", "functions.qualified_name as names", "calls"))
+    assert rows(bound) == want and {x[7] for x in want} == {None, 1, 2, 3, 4}
+    assert rows(extract.functions_of(near)) == rows(extract.functions_of(plain_))
+    plan = bound._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
